@@ -28,6 +28,13 @@ def _carry_window(keys: Sequence[str]):
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CHUNK)
 
 
+def on_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be NULL; NULL meets NULL, left columns stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, match).drop(*[f"_r_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -66,7 +73,7 @@ def running(
         CHUNK,
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in counters],
     )
-    joined = inside.join(carried, [*keys, CHUNK])
+    joined = on_equal(inside, carried, [*keys, CHUNK])
     return joined.select(
         *df.columns, *[(F.col(f"_i_{n}") + F.col(f"_c_{n}")).alias(n) for n in counters]
     )
@@ -90,7 +97,7 @@ def previous(
         F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
     )
     carried = last.select(*keys, CHUNK, F.lag("_last").over(_carry_window(keys)).alias("_carry"))
-    return inside.join(carried, [*keys, CHUNK]).select(
+    return on_equal(inside, carried, [*keys, CHUNK]).select(
         *df.columns, F.coalesce("_in", "_carry").alias(name)
     )
 
@@ -134,7 +141,7 @@ def range_join(
     )
     right = points.withColumn("_bucket", F.expr(f"{position} div {width}"))
     return (
-        left.join(right, [*keys, "_bucket"])
+        on_equal(left, right, [*keys, "_bucket"])
         .where(F.col(position).between(F.col(low), F.col(high)))
         .drop("_bucket")
     )

@@ -54,19 +54,25 @@ def text(column: Column | str) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def stripped(column: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text(column), r"^\s+|\s+$", "")
+
+
 def parse_time(column: Column | str) -> Column:
-    value = F.trim(text(column))
+    value = stripped(column)
     return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in TIME_FORMATS])
 
 
 def safe_float(column: Column | str) -> Column:
-    value = F.trim(text(column))
+    """Number of a text; NULL for anything else, ``inf`` and ``nan`` included."""
+    value = stripped(column)
     shape = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
     return F.when(value.rlike(shape), value.try_cast("double"))
 
 
 def is_ng(column: Column | str = "comp_errname") -> Column:
-    value = F.upper(F.trim(text(column)))
+    value = F.upper(stripped(column))
     return (value != "") & (value != "PASS")
 
 
@@ -116,8 +122,11 @@ def pad_of(column: Column | str) -> Column:
 
 
 def stable_id(prefix: str, *columns: Column | str) -> Column:
-    identity = F.concat_ws("|", *[text(c) for c in columns])
-    return F.concat(F.lit(prefix), F.substring(F.sha1(identity.cast("binary")), 1, 8))
+    """Prefix and full digest of the parts, each preceded by its length, so that
+    neither short digests nor separators inside a value let two keys meet."""
+    parts = [text(c) for c in columns]
+    identity = F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
+    return F.concat(F.lit(prefix), F.sha1(identity.cast("binary")))
 
 
 def direction_matches(defect: Column | str, direction: Column | str) -> Column:
@@ -133,7 +142,7 @@ def direction_matches(defect: Column | str, direction: Column | str) -> Column:
 
 def label_defect(column: Column | str) -> tuple[Column, Column]:
     """(direction, metric) of a rules-engine label, NULL when not a known label."""
-    key = F.translate(F.lower(F.trim(text(column))), "_", " ")
+    key = F.translate(F.lower(stripped(column)), "_", " ")
     return (
         _lookup(key, {k: v[0] for k, v in RULE_LABELS.items()}),
         _lookup(key, {k: v[1] for k, v in RULE_LABELS.items()}),

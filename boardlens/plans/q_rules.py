@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import boardlens.plans.oracle.rules  # noqa: F401
 from boardlens.functions.stats import r6
 from boardlens.operators import dashboard as D
 from boardlens.operators import rules as R
@@ -48,7 +47,7 @@ def worked(cases):
 @query("abnormals", """
 SELECT printf('ABN%012d', row_number() OVER (ORDER BY ts, board_sn, component, pad, row_id)) AS abnormal_id, row_id, defect AS defect_type,
  metric AS main_metric, v AS actual_value, u AS upper_limit, l AS lower_limit,
- round(CASE WHEN labelled THEN v ELSE (v - (u + l) / 2) / ((u + l) / 2) * 100 END, 6) AS deviation_percent
+ round(CASE WHEN labelled THEN v ELSE round((v - (u + l) / 2) / ((u + l) / 2) * 100, 2) END, 6) AS deviation_percent
 FROM (
  SELECT *, CASE metric WHEN 'volume' THEN volume WHEN 'area' THEN area ELSE height END AS v,
   CASE metric WHEN 'volume' THEN volume_upper WHEN 'area' THEN area_upper ELSE height_upper END AS u,
@@ -228,4 +227,4 @@ def metric_delta(spark, sf):
 SELECT CAST(3000 AS BIGINT) AS window_boards, least(count(DISTINCT barcode), 3000) AS loaded_boards, 'spi' AS source_table,
  count(DISTINCT barcode) >= 3000 AS show_scope FROM spi""")
 def window_scope(spark, sf):
-    return D.window_scope(recent_boards(spi_rows(spark, sf)), RECENT_BOARDS, "spi")
+    return D.window_scope(recent_boards(spi_rows(spark, sf), RECENT_BOARDS), RECENT_BOARDS, "spi")

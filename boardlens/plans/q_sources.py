@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import boardlens.plans.oracle.base  # noqa: F401
 from boardlens.functions import scalars as S
 from boardlens.functions.stats import r6
 from boardlens.operators.inspections import normalized
 from boardlens.operators.rules import filter_items
 from boardlens.plans.registry import query, rows
-from boardlens.schema import AFFECTED_TRIPLES, PARAM_SINGLES, PARAM_TRIPLES
+from boardlens.schema import AFFECTED_TRIPLES, PARAM_SINGLES, PARAM_TRIPLES, RECENT_BOARDS
 from boardlens.session import new_folder
 from boardlens.sources import readers as R
 from boardlens.sources.spi import limits_rows, spi_rows
@@ -29,7 +28,7 @@ def scan_full(spark, sf):
 SELECT row_id, barcode, fdate, compname FROM spi WHERE barcode IN (
   SELECT barcode FROM spi GROUP BY barcode ORDER BY max(ts) DESC NULLS LAST, barcode LIMIT 3000)""")
 def recent_boards(spark, sf):
-    return R.recent_boards(spi_rows(spark, sf)).select("row_id", "barcode", "fdate", "compname")
+    return R.recent_boards(spi_rows(spark, sf), RECENT_BOARDS).select("row_id", "barcode", "fdate", "compname")
 
 
 @query("lowercase_columns", "SELECT barcode, cmodel, compname, comp_errname, comp_avdp FROM spi")
@@ -92,8 +91,10 @@ def ingest_export(spark, sf):
 
 @query("defect_subset_scan", """
 SELECT fdate, machinename, cmodel, barcode, compname, comp_errname, comp_avdp, comp_aadp, comp_ahdp, comp_px, comp_py,
- printspeed_plan, printspeed, diff_printspeed, frontsqgpress, rearsqgpress, snapoffspeed_plan, snapoffspeed,
- diff_snapoffspeed, cleaningfrequency FROM spi
+ printspeed_plan, printspeed, diff_printspeed, CAST(NULL AS DOUBLE) AS frontsqgpress_plan, frontsqgpress,
+ CAST(NULL AS DOUBLE) AS diff_frontsqgpress, CAST(NULL AS DOUBLE) AS rearsqgpress_plan, rearsqgpress,
+ CAST(NULL AS DOUBLE) AS diff_rearsqgpress, snapoffspeed_plan, snapoffspeed, diff_snapoffspeed,
+ CAST(NULL AS DOUBLE) AS cleaningfrequency_plan, cleaningfrequency, CAST(NULL AS DOUBLE) AS diff_cleaningfrequency FROM spi
 WHERE comp_errname IN ('Under Volume','Under Area','Under Height','Over Volume','Over Height','AREAOVER')
 ORDER BY ts, barcode, compname""")
 def defect_subset_scan(spark, sf):
@@ -121,7 +122,7 @@ def source_probe(spark, sf):
 
 
 @query("warning_ack_log", """
-SELECT 'WRN-' || substr(sha1(cmodel || '|' || compname || '|' || barcode), 1, 8) AS warning_id,
+SELECT 'WRN-' || sha1(length(cmodel) || ':' || cmodel || length(compname) || ':' || compname || length(barcode) || ':' || barcode || length(fdate) || ':' || fdate) AS warning_id,
  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS accepted_at FROM rows_ng WHERE ng GROUP BY 1""")
 def warning_ack_log(spark, sf):
     folder = new_folder(spark, "acks")
@@ -224,17 +225,26 @@ _NORM_SQL = """row_id, work_order, cmodel AS product_name, barcode AS board_sn,
  comp_avdp AS volume_deviation_percent, comp_aadp AS area_deviation_percent, comp_ahdp AS height_deviation_percent"""
 
 
-@query("normalize_spi", f"""
-SELECT {_NORM_SQL}, printspeed_plan, printspeed, diff_printspeed, snapoffspeed, markdeviation_plan, frontsqgpress,
- CAST(NULL AS DOUBLE) AS printgap, printmode, printdirection, temperature FROM spi""")
+_PARAMETERS = [c for n in PARAM_TRIPLES for c in (f"{n}_plan", n, f"diff_{n}")]
+_PARAMETERS += [c for c in PARAM_SINGLES if c not in _PARAMETERS]
+# What the test view has of them; the contract's other columns are NULL there.
+_IN_VIEW = {
+    "printspeed_plan", "printspeed", "diff_printspeed", "snapoffspeed_plan", "snapoffspeed", "diff_snapoffspeed",
+    "markdeviation_plan", "frontsqgpress", "rearsqgpress", "printmode", "cleaningfrequency", "temperature", "humidity",
+    "printdirection",
+}
+_TEXT_SINGLES = {"printmode_plan", "printmode", "printdirection", "pcbsize"}
+_PARAMETER_SQL = ", ".join(
+    c if c in _IN_VIEW else f"CAST(NULL AS {'VARCHAR' if c in _TEXT_SINGLES else 'DOUBLE'}) AS {c}" for c in _PARAMETERS)
+
+
+@query("normalize_spi", f"SELECT {_NORM_SQL}, {_PARAMETER_SQL} FROM spi")
 def normalize_spi(spark, sf):
     df = normalized(spi_rows(spark, sf), PARAM_TRIPLES, PARAM_SINGLES)
-    keep = [c for c in df.columns if c in (
+    return df.select(
         "row_id", "work_order", "product_name", "board_sn", "inspect_time", "machine", "side", "component", "pad",
         "x", "y", "raw_ng_type", "volume_deviation_percent", "area_deviation_percent", "height_deviation_percent",
-        "printspeed_plan", "printspeed", "diff_printspeed", "snapoffspeed", "markdeviation_plan", "frontsqgpress",
-        "printgap", "printmode", "printdirection", "temperature")]
-    return df.select(*keep)
+        *_PARAMETERS)
 
 
 @query("normalize_affected", f"""
@@ -259,8 +269,8 @@ def deviation_percent(spark, sf):
 
 
 @query("stable_id", """
-SELECT row_id, 'TRG-' || substr(sha1(cmodel || '|' || compname || '|' || barcode || '|' || fdate), 1, 8) AS trigger_id,
- 'WRN-' || substr(sha1(cmodel || '|' || compname || '|' || barcode || '|' || fdate), 1, 8) AS warning_id FROM spi""")
+SELECT row_id, 'TRG-' || sha1(length(cmodel) || ':' || cmodel || length(compname) || ':' || compname || length(barcode) || ':' || barcode || length(fdate) || ':' || fdate) AS trigger_id,
+ 'WRN-' || sha1(length(cmodel) || ':' || cmodel || length(compname) || ':' || compname || length(barcode) || ':' || barcode || length(fdate) || ':' || fdate) AS warning_id FROM spi""")
 def stable_id(spark, sf):
     key = ("cmodel", "compname", "barcode", "fdate")
     return spi_rows(spark, sf).select(

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import boardlens.plans.oracle.base  # noqa: F401
+import boardlens.plans.oracle.rules  # noqa: F401
 from boardlens.operators.inspections import keyed
 from boardlens.plans.oracle import with_ctes
 from boardlens.sources.spi import spi_rows
@@ -26,7 +28,12 @@ def query(name: str, sql: str | None = None):
         assert name not in QUERIES, name
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name] = sql
         return fn
 
     return add
+
+
+def oracle_sql() -> dict[str, str]:
+    """Complete SQL per query, composed once every shared expression is known."""
+    return {name: with_ctes(sql) for name, sql in ORACLES.items()}

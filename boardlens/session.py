@@ -34,12 +34,16 @@ _LOCAL_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (a laptop, a test) is a local folder made, once per application.
+    A cluster names it in ``spark.checkpoint.dir``; on any other than a local
+    master a missing name is an error, as executors would each write to a disk of
+    their own. A local session (a laptop, a test) gets one folder per application.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="boardlens-")
