@@ -122,7 +122,7 @@ def source_probe(spark, sf):
 
 
 @query("warning_ack_log", """
-SELECT 'WRN-' || sha1(length(cmodel) || ':' || cmodel || length(compname) || ':' || compname || length(barcode) || ':' || barcode || length(fdate) || ':' || fdate) AS warning_id,
+SELECT 'WRN-' || sha1(length(cmodel) || ':' || cmodel || length(compname) || ':' || compname || length(barcode) || ':' || barcode) AS warning_id,
  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS accepted_at FROM rows_ng WHERE ng GROUP BY 1""")
 def warning_ack_log(spark, sf):
     folder = new_folder(spark, "acks")
