@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from boardlens.llm import mixing, urls
+from pyspark.sql import functions as F
+
+from boardlens.llm import decontam, mixing, quality, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -31,3 +33,15 @@ def op2_mixing(spark, sf):
 @query("op9_url_filters", urls.ORACLE)
 def op9_url_filters(spark, sf):
     return urls.judge(table(spark, sf, "pages"))
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark, sf):
+    return quality.judge(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("score", 6).alias("score"))
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark, sf):
+    return decontam.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
