@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boardlens.llm import decontam, mixing, quality, urls
+from boardlens.llm import decontam, mixing, quality, substrings, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -45,3 +45,8 @@ def op8_quality_rules(spark, sf):
 @query("op1_decontamination")
 def op1_decontamination(spark, sf):
     return decontam.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark, sf):
+    return substrings.remove_repeats(table(spark, sf, "documents"), digest=True)
