@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boardlens.llm import decontam, mixing, quality, substrings, urls
+from boardlens.llm import decontam, lines, mixing, quality, substrings, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -50,3 +50,8 @@ def op1_decontamination(spark, sf):
 @query("op3_substring_dedup")
 def op3_substring_dedup(spark, sf):
     return substrings.remove_repeats(table(spark, sf, "documents"), digest=True)
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark, sf):
+    return lines.decisions(table(spark, sf, "documents"))
