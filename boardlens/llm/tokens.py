@@ -73,8 +73,10 @@ class Words:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[a:b], self.end[a:b], strict=True))
 
 
-def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, their words); NULL is an empty text."""
+def pieces(
+    column: pa.Array, limit: int = PIECE_BYTES, table: np.ndarray | None = None
+) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, their words); NULL is an empty text. ``table`` maps each byte first."""
     column = column.cast(pa.large_string()) if column.type != pa.large_string() else column
     if column.null_count:
         column = column.fill_null("")
@@ -88,7 +90,8 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
         b = min(b, n)
-        yield a, b, Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+        part = data[offsets[a]:offsets[b]]
+        yield a, b, Words(part if table is None else table[part], offsets[a:b + 1] - offsets[a])
         a = b
 
 
