@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boardlens.llm import decontam, lines, mixing, quality, substrings, urls
+from boardlens.llm import decontam, jaccard, lines, mixing, quality, substrings, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -55,3 +55,8 @@ def op3_substring_dedup(spark, sf):
 @query("op5_line_dedup")
 def op5_line_dedup(spark, sf):
     return lines.decisions(table(spark, sf, "documents"))
+
+
+@query("op6_ngram_jaccard_join")
+def op6_ngram_jaccard_join(spark, sf):
+    return jaccard.near_duplicates(table(spark, sf, "documents"))
