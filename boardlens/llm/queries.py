@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boardlens.llm import decontam, jaccard, lines, mixing, quality, substrings, urls
+from boardlens.llm import decontam, jaccard, lines, lm, mixing, quality, substrings, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -60,3 +60,8 @@ def op5_line_dedup(spark, sf):
 @query("op6_ngram_jaccard_join")
 def op6_ngram_jaccard_join(spark, sf):
     return jaccard.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op7_lm_scoring")
+def op7_lm_scoring(spark, sf):
+    return lm.score(table(spark, sf, "documents"))
