@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardlens.llm.text import columns_or_null, text_of
+from boardlens.llm.text import columns_or_null, text_of, words_of
 from boardlens.session import settled
 
 WEIGHTS = (3, 1, 2)
@@ -99,6 +99,31 @@ def takes(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float
         .drop("_source", "_range", "_ranges", "_carried", "_key", "n_docs"))
 
 
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+    """The mix itself: all columns of the documents, ``epoch`` and ``words`` (taken in this epoch), one row per
+    document and epoch. A document cut at the budget keeps its first words, joined by a blank.
+
+    Rows equal in doc_id, source and text are taken as equals.
+    """
+    row_key = F.md5(F.concat_ws(
+        ":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("source", F.lit("")), text_of()).cast("binary"))
+    keyed = columns_or_null(docs, doc_id="bigint", source="string", text="string").select(
+        row_key.alias("_row"), "doc_id", "source", word_count().alias("size"), mix_key().alias("_key"))
+    taken = settled(
+        takes(settled(keyed, "mix-sizes"), weights, share, epochs)
+        .groupBy("_row", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
+        .select(F.col("_row").alias("_of"), "size", "taken"), "mix-taken")
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    joined = docs.withColumn("_at", row_key).join(taken, F.col("_at") == F.col("_of"))
+    rows = joined.withColumn(
+        "epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("taken") / F.col("size")).cast("bigint"))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size"))
+    rows = rows.withColumn("words", words)
+    cut = F.array_join(F.slice(words_of(), 1, F.col("words").cast("int")), " ")
+    return rows.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))).select(
+        *columns, "text", "epoch", "words")
+
+
 ORACLE = f"""
 WITH s AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,

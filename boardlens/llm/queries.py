@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boardlens.llm import decontam, jaccard, lines, lm, mixing, quality, substrings, urls
+import corpus_pipeline
+from boardlens.llm import decontam, jaccard, licenses, lines, lm, mixing, pii, quality, substrings, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -65,3 +66,25 @@ def op6_ngram_jaccard_join(spark, sf):
 @query("op7_lm_scoring")
 def op7_lm_scoring(spark, sf):
     return lm.score(table(spark, sf, "documents"))
+
+
+@query("op10_private_terms")
+def op10_private_terms(spark, sf):
+    return pii.digest(table(spark, sf, "documents"))
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark, sf):
+    """Documents as files: source / thousands / hundreds / name; every 25th is its parent's licence file."""
+    number = F.col("doc_id")
+    path = F.when(number % 25 == 0, F.concat_ws(
+        "/", "source", F.expr("doc_id div 1000").cast("string"), F.concat(F.lit("LICENSE-"), number.cast("string")))
+    ).otherwise(F.concat_ws(
+        "/", "source", F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100 % 10").cast("string"),
+        F.concat(number.cast("string"), F.lit(".txt"))))
+    files = table(spark, sf, "documents").select("doc_id", path.alias("path"), "text")
+    found = licenses.scan(files)
+    return found.withColumn("doc_id", F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("bigint"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
