@@ -148,3 +148,14 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limi
         "kept", ~F.col("base_failed") & (F.round("score", 6) >= threshold)
     ).select(*[F.col(f"`{n}`") for n in names], "n_words", "word_chars", "n_symbols", "n_dup_lines",
              "n_repeat_words", "base_failed", "score", "kept")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = TRUSTED) -> DataFrame:
+    """The documents the rules keep, with their columns.
+
+    An explode of one or no element does the filtering: a WHERE would be pushed
+    below the projections and repeat their nested expressions many times over.
+    """
+    judged = judge(docs, labels, threshold, limit)
+    once = F.expr("if(kept, array(1), cast(array() as array<int>))")
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(once).alias("_once")).drop("_once")
