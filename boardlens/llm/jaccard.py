@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from boardlens.llm.components import components
 from boardlens.llm.text import columns_or_null, text_of
-from boardlens.llm.tokens import mix, pieces, windows
+from boardlens.llm.tokens import groups, mix, pieces, windows
 from boardlens.session import settled
 
 SIMILARITY = 0.8
@@ -114,31 +114,11 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Whole groups of rows that agree in ``keys``, from batches sorted by them."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if held is not None and len(held):
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        if not len(batch):
-            continue
-        change = np.zeros(len(batch) - 1, bool)
-        for key in keys:
-            column = batch.column(key).to_numpy(zero_copy_only=False)
-            change |= column[1:] != column[:-1]
-        edges = np.concatenate(([0], np.flatnonzero(change) + 1))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield batch.slice(a, b - a)
-        held = batch.slice(edges[-1])
-    if held is not None and len(held):
-        yield held
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small buckets: members tied by estimated similarity, as one link per member."""
     nodes_a: list[bytes] = []
     nodes_b: list[bytes] = []
-    for group in _by_key(batches, ["path"]):
+    for group in groups(batches, ["path"]):
         n = len(group)
         if n > 1:
             minima = np.asarray(group.column("minima").flatten()).reshape(n, MINIMA)
@@ -209,7 +189,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(
             [pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["node", "root", "links"])
 
-    for group in _by_key(batches, ["label", "low", "high"]):
+    for group in groups(batches, ["label", "low", "high"]):
         n = len(group)
         if n > 1:
             shingles = group.column("shingles")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardlens.llm.text import columns_or_null, text_of
-from boardlens.llm.tokens import Words, pieces, windows
+from boardlens.llm.tokens import Words, pieces, whole_groups, windows
 from boardlens.session import settled
 
 WINDOW = 35
@@ -136,21 +136,8 @@ def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by bucket; the last, perhaps unfinished bucket waits for the next batch."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if held is not None and len(held):
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        if not len(batch):
-            continue
-        key = np.asarray(batch.column("minimiser")), np.asarray(batch.column("sub"))
-        last = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield _count(batch.slice(0, cut))
-        held = batch.slice(cut)
-    if held is not None and len(held):
-        yield _count(held)
+    for buckets in whole_groups(batches, ["minimiser", "sub"]):
+        yield _count(buckets)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,3 +111,35 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int, seed: int = 21) ->
             fits[a:a + c - size + 1] = True
     at = np.flatnonzero(fits)
     return mix(total[at], seed), at
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that rows that agree in ``keys``, by which they come sorted, stay together."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if held is not None and len(held):
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not len(batch):
+            continue
+        edges = _edges(batch, keys)
+        if edges[-1]:
+            yield batch.slice(0, edges[-1])
+        held = batch.slice(edges[-1])
+    if held is not None and len(held):
+        yield held
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """One batch per group of rows that agree in ``keys``, from batches sorted by them."""
+    for batch in whole_groups(batches, keys):
+        edges = np.append(_edges(batch, keys), len(batch))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
+def _edges(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    change = np.zeros(len(batch) - 1, bool)
+    for key in keys:
+        column = batch.column(key).to_numpy(zero_copy_only=False)
+        change |= column[1:] != column[:-1]
+    return np.concatenate(([0], np.flatnonzero(change) + 1))
