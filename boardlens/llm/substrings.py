@@ -79,29 +79,44 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers named in ``wanted`` (number, bucket splits), one row per bucket they go to."""
+    """Super-k-mers named in ``wanted`` (number, bucket splits), equal ones of a piece once with all their places.
+
+    A row goes to each of the minimiser's buckets that owns one of its windows.
+    """
     for batch in batches:
-        wanted = batch.column("wanted")
+        wanted, contents = batch.column("wanted"), batch.column("content")
         for a, b, words in pieces(batch.column("text")):
             first, length, minimiser, owner = _runs(words)
-            run_of_text = np.searchsorted(owner, np.arange(b - a))
-            content = batch.column("content").slice(a, b - a)
+            own = wanted.slice(a, b - a)
+            want = own.flatten()
+            numbers, splits = (want.field(f).to_numpy(zero_copy_only=False) for f in ("no", "splits"))
+            text = np.repeat(np.arange(b - a), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            runs = np.searchsorted(owner, text) + numbers
+            window = None
+            if len(splits) and splits.max() > 1:
+                window = np.zeros(len(words), np.uint64)
+                value, at = windows(words.hashes(), words.first, WINDOW, seed=41)
+                window[at] = value
+            rows: dict[tuple[int, bytes], tuple[int, np.ndarray | None, list, list]] = {}
+            ids = contents.slice(a, b - a).to_pylist()
+            for run, split, t in zip(runs.tolist(), splits.tolist(), text.tolist(), strict=True):
+                s, n = int(first[run]), int(length[run])
+                key = int(minimiser[run]), words.text(s, s + n + WINDOW - 1)
+                if key not in rows:
+                    subs = np.unique(window[s:s + n] % np.uint64(split)) if split > 1 else None
+                    rows[key] = split, subs, [], []
+                rows[key][2].append(ids[t])
+                rows[key][3].append(s - int(words.first[t]))
             out: list[list] = [[], [], [], [], [], []]
-            ids, rows = content.to_pylist(), wanted.slice(a, b - a).to_pylist()
-            for text in range(b - a):
-                for want in rows[text] or ():
-                    run = run_of_text[text] + want["no"]
-                    s, n = int(first[run]), int(length[run])
-                    pack = words.text(s, s + n + WINDOW - 1)
-                    for sub in range(want["splits"]):
-                        for column, value in zip(out, (
-                            int(minimiser[run]), sub, want["splits"], ids[text],
-                            s - int(words.first[text]), pack), strict=True):
-                            column.append(value)
+            for (low, pack), (split, subs, where, starts) in rows.items():
+                for sub in (0,) if subs is None else subs.tolist():
+                    for column, value in zip(out, (low, sub, split, where, starts, pack), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()),
-                 pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary()).cast(pa.string())],
-                ["minimiser", "sub", "splits", "content", "start", "pack"])
+                 pa.array(out[3], pa.list_(pa.binary())), pa.array(out[4], pa.list_(pa.int32())),
+                 pa.array(out[5], pa.binary()).cast(pa.string())],
+                ["minimiser", "sub", "splits", "contents", "starts", "pack"])
 
 
 def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -123,15 +138,17 @@ def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
     row, place, h1, h2 = row[here], place[here], h1[here], h2[here]
     order = np.lexsort((h2, h1))
     same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-    twice = np.zeros(len(order), bool)
+    places = batch.column("contents").value_lengths().to_numpy(zero_copy_only=False)
+    twice = places[row[order]] > 1
     twice[1:] |= same
     twice[:-1] |= same
     hit = order[twice]
     bits = np.zeros(n, np.int64)
     np.bitwise_or.at(bits, row[hit], np.int64(1) << place[hit].astype(np.int64))
-    keep = np.flatnonzero(bits)
+    keep = pa.array(np.flatnonzero(bits))
+    out = batch.select(["contents", "starts"]).take(keep)
     return pa.RecordBatch.from_arrays(
-        [batch.column("content").take(pa.array(keep)), batch.column("start").take(pa.array(keep)), pa.array(bits[keep], pa.int64())],
+        [out.column("contents").flatten(), out.column("starts").flatten(), pa.array(np.repeat(bits[keep], places[keep]), pa.int64())],
         ["content", "start", "bits"])
 
 
@@ -158,10 +175,11 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         at = np.array([i for i in range(SPAN) if bits >> i & 1]) + mark["start"]
                         np.add.at(gone, at, 1)
                         np.add.at(gone, np.minimum(at + WINDOW, n), -1)
-                keep = np.flatnonzero(np.cumsum(gone)[:n] == 0) + lo
-                kept = b" ".join(words.data[words.start[i]:words.end[i]].tobytes() for i in keep)
+                stays = np.concatenate(([False], np.cumsum(gone)[:n] == 0, [False]))
+                turns = np.flatnonzero(stays[1:] != stays[:-1]).reshape(-1, 2)
+                kept = b" ".join(words.text(lo + p, lo + q) for p, q in turns)
                 out[0].append(n)
-                out[1].append(n - len(keep))
+                out[1].append(n - int(stays.sum()))
                 out[2].append(kept)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("content").slice(a, b - a), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
@@ -187,7 +205,7 @@ def cleaned_texts(docs: DataFrame) -> DataFrame:
         F.collect_list(F.struct("no", "splits")).alias("wanted"))
     distinct = texts.groupBy("content").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     packs = distinct.join(wanted, "content").select("content", "text", "copies", "wanted").mapInArrow(
-        _packs, "minimiser bigint, sub int, splits int, content binary, start int, pack string")
+        _packs, "minimiser bigint, sub int, splits int, contents array<binary>, starts array<int>, pack string")
     marks = (
         packs.repartition("minimiser", "sub").sortWithinPartitions("minimiser", "sub")
         .mapInArrow(_count_buckets, "content binary, start int, bits bigint")

@@ -69,8 +69,8 @@ class Words:
         return mix(total + length.astype(np.uint64), 13)
 
     def text(self, a: int, b: int) -> bytes:
-        """Words a to b (exclusive) joined by one blank."""
-        return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[a:b], self.end[a:b], strict=True))
+        """Words a to b (exclusive) of one text, joined by one blank."""
+        return b" ".join(self.data[self.start[a]:self.end[b - 1]].tobytes().split()) if b > a else b""
 
 
 def pieces(
