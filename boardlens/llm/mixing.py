@@ -100,7 +100,7 @@ def takes(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
-    """The mix itself: all columns of the documents, ``epoch`` and ``words`` (taken in this epoch), one row per
+    """The mix itself: all columns of the documents, ``mix_epoch`` and ``mix_words`` (taken in it), one row per
     document and epoch. A document cut at the budget keeps its first words, joined by a blank.
 
     Rows equal in doc_id, source and text are taken as equals.
@@ -112,16 +112,18 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     taken = settled(
         takes(settled(keyed, "mix-sizes"), weights, share, epochs)
         .groupBy("_row", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
-        .select(F.col("_row").alias("_of"), "size", "taken"), "mix-taken")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    joined = docs.withColumn("_at", row_key).join(taken, F.col("_at") == F.col("_of"))
+        .select(F.col("_row").alias("_mix_of"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken")),
+        "mix-taken")
+    size, total = F.col("_mix_size"), F.col("_mix_taken")
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "mix_epoch", "mix_words")]
+    joined = docs.drop("mix_epoch", "mix_words").withColumn("_mix_row", row_key).join(
+        taken, F.col("_mix_row") == F.col("_mix_of"))
     rows = joined.withColumn(
-        "epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("taken") / F.col("size")).cast("bigint"))))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size"))
-    rows = rows.withColumn("words", words)
-    cut = F.array_join(F.slice(words_of(), 1, F.col("words").cast("int")), " ")
-    return rows.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))).select(
-        *columns, "text", "epoch", "words")
+        "mix_epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(total / size).cast("bigint"))))
+    rows = rows.withColumn("mix_words", F.least(size, total - (F.col("mix_epoch") - 1) * size))
+    cut = F.array_join(F.slice(words_of(), 1, F.col("mix_words").cast("int")), " ")
+    return rows.withColumn("text", F.when(F.col("mix_words") < size, cut).otherwise(F.col("text"))).select(
+        *columns, "text", "mix_epoch", "mix_words")
 
 
 ORACLE = f"""

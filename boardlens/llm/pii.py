@@ -254,15 +254,15 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """The documents with entities and revealing terms replaced or removed in ``text``, all columns."""
     marks = settled(
         spans(docs).where((F.size("spans") > 0) | (F.size("added") > 0)).dropDuplicates(["doc"])
-        .select(F.col("doc").alias("_doc"), "spans", "added"), "private-marks")
-    joined = docs.withColumn("_key", document_key()).join(marks, F.col("_key") == F.col("_doc"), "left")
+        .select(F.col("doc").alias("_of_document"), F.col("spans").alias("_spans"), F.col("added").alias("_added")), "private-marks")
+    joined = docs.withColumn("_document", document_key()).join(marks, F.col("_document") == F.col("_of_document"), "left")
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     cuts = F.array_sort(F.concat(
-        F.transform("spans", lambda s: F.struct(s.start, s.end, F.get(name, s.kind).alias("by"))),
-        F.transform("added", lambda s: F.struct(s.start, s.end, F.when(s.action == ADDED[0], "[TERM]").otherwise("").alias("by")))))
+        F.transform("_spans", lambda s: F.struct(s.start, s.end, F.get(name, s.kind).alias("by"))),
+        F.transform("_added", lambda s: F.struct(s.start, s.end, F.when(s.action == ADDED[0], "[TERM]").otherwise("").alias("by")))))
     piece = F.aggregate(
         cuts, F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
         lambda acc, c: F.when(c.start < acc.at, acc).otherwise(F.struct(
             F.concat(acc.done, F.substring(F.col("text"), acc.at + 1, c.start - acc.at), c.by).alias("done"), c.end.alias("at"))),
         lambda acc: F.concat(acc.done, F.substring(F.col("text"), acc.at + 1, F.length("text") - acc.at)))
-    return joined.withColumn("text", F.when(F.col("_doc").isNull(), F.col("text")).otherwise(piece)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("_of_document").isNull(), F.col("text")).otherwise(piece)).select(*docs.columns)

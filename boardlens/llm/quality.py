@@ -135,19 +135,26 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED) -> list[float]
     ]
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = TRUSTED) -> DataFrame:
-    """All columns of the documents, the plain counts, base_failed, score and kept."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """``_doc`` (a struct of the document's columns, so that no name clashes) and COUNTS."""
     ratios = fit(docs, labels, limit)
-    names = docs.columns
     # One literal of a fixed number of values; the split is folded when the plan is made.
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    df = base_counts(docs).withColumn("_b", buckets())
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
+    df = base_counts(whole).withColumn("_b", buckets())
     total = F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(table, b))
     score = F.when(F.size("_b") > 0, total / F.size("_b")).otherwise(F.lit(0.0))
     return df.withColumn("score", score).withColumn(
-        "kept", ~F.col("base_failed") & (F.round("score", 6) >= threshold)
-    ).select(*[F.col(f"`{n}`") for n in names], "n_words", "word_chars", "n_symbols", "n_dup_lines",
-             "n_repeat_words", "base_failed", "score", "kept")
+        "kept", ~F.col("base_failed") & (F.round("score", 6) >= threshold)).select("_doc", *COUNTS)
+
+
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = TRUSTED) -> DataFrame:
+    """The documents' columns and COUNTS, which take the place of columns of their names."""
+    own = [F.col(f"_doc.`{c}`") for c in docs.columns if c.lower() not in COUNTS]
+    return _judged(docs, labels, threshold, limit).select(*own, *COUNTS)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = TRUSTED) -> DataFrame:
@@ -156,6 +163,5 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     An explode of one or no element does the filtering: a WHERE would be pushed
     below the projections and repeat their nested expressions many times over.
     """
-    judged = judge(docs, labels, threshold, limit)
     once = F.expr("if(kept, array(1), cast(array() as array<int>))")
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(once).alias("_once")).drop("_once")
+    return _judged(docs, labels, threshold, limit).select("_doc", F.explode(once).alias("_once")).select("_doc.*")

@@ -8,5 +8,5 @@ from tests.compare import oracle_rows, spark_rows
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.001"
     assert spark_rows(queries.QUERIES[name](spark, folder)) == oracle_rows(queries.ORACLES[name], folder)
