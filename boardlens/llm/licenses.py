@@ -16,6 +16,10 @@ tables give an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,57 +33,62 @@ NAMES = r"(?i)(^|/)(LICEN[CS]E|COPYING|NOTICE)[^/]*$"
 # Short forms of common licence notices.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd-3-clause", "Released under the BSD 3-Clause License"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("mit", "Released under the MIT License"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+    ("mpl-2.0", "Licensed under the Mozilla Public License, version 2.0"),
 )
 
 
 def _terms(text: str) -> list[str]:
-    import re
-
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def passages(files: DataFrame) -> DataFrame:
-    """file, whole, words for each line, and for the whole text of licence files."""
+def passages(files: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """file, no, whole, hits (template terms met), n_words and known (template words in order)
+    for each line, and for the whole text of licence files. One pass over the texts, written down."""
     parts = F.concat(
         F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part"))),
         F.when(F.col("is_license") & F.contains("text", F.lit("\n")), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("part"))))
         .otherwise(F.array().cast("array<struct<whole:boolean,part:string>>")))
-    lines = files.select("file", F.posexplode(parts).alias("no", "p"))
-    return lines.select("file", "no", "p.whole", plain_words_of(F.col("p.part")).alias("words"))
+    terms = F.array(*[F.lit(t) for t in vocabulary])
+    split = files.select("file", parts.alias("parts")).select("file", F.posexplode("parts").alias("no", "p"))
+    rows = split.select("file", "no", "p.whole", plain_words_of(F.col("p.part")).alias("words"))
+    rows = rows.withColumn("hits", F.array_intersect("words", terms))
+    known = F.filter("words", lambda w: F.array_contains(terms, w))
+    return settled(rows.select(
+        "file", "no", "whole", "hits", F.size("words").alias("n_words"),
+        F.when(F.size("hits") >= LEAST_TERMS, known).alias("known")), "passages")
 
 
 def own_licenses(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE) -> DataFrame:
     """file, license, cosine of files with a licence of their own."""
     session = files.sparkSession
     vocabulary = sorted({t for _, text in templates for t in _terms(text)})
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    rows = passages(files).withColumn("hits", F.array_intersect("words", known))
+    rows = passages(files, vocabulary)
+    lines = rows.where("NOT whole")
     df_counts = {
-        r.term: r.n for r in rows.where("NOT whole").select(F.explode("hits").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
+        r.term: r.n for r in lines.select(F.explode("hits").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
     }
-    lines = files.agg(F.sum(F.size(F.split("text", "\n"))).alias("n")).first()[0] or 0
-    import math
-
-    idf = {t: math.log((1 + lines) / (1 + df_counts.get(t, 0))) + 1 for t in vocabulary}
-    rest = math.log(1 + lines) + 1
+    n_lines = lines.count()
+    idf = {t: math.log((1 + n_lines) / (1 + df_counts.get(t, 0))) + 1 for t in vocabulary}
+    rest = math.log(1 + n_lines) + 1
     weights = []
     for name, text in templates:
-        counts = {t: _terms(text).count(t) for t in _terms(text)}
+        counts = Counter(_terms(text))
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items()))
         weights += [(name, t, idf[t], n * idf[t] / norm) for t, n in counts.items()]
     # One row per template and term of the fixed list: broadcast.
     table = F.broadcast(session.createDataFrame(weights, "license string, term string, idf double, weight double"))
     idfs = F.broadcast(session.createDataFrame(list(idf.items()), "term string, idf double"))
-    some = rows.where(F.size("hits") >= LEAST_TERMS)
-    others = F.filter("words", lambda w: ~F.array_contains(known, w))
-    counted = some.select("file", "no", F.size(others).alias("n_other"), F.explode(
-        F.filter("words", lambda w: F.array_contains(known, w))).alias("term"))
-    tf = counted.groupBy("file", "no", "n_other", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # No passage with fewer known words can reach the cosine: no idf is above that of other words.
+    n_other = F.col("n_words") - F.size("known")
+    bound = cosine * cosine / (1 - cosine * cosine)
+    some = rows.where(F.col("known").isNotNull() & (F.size("known") * F.size("known") >= F.lit(bound - 1e-9) * n_other))
+    tf = (
+        some.select("file", "no", n_other.alias("n_other"), F.explode("known").alias("term"))
+        .groupBy("file", "no", "n_other", "term").agg(F.count(F.lit(1)).alias("tf")))
     length = tf.join(idfs, "term").groupBy("file", "no").agg(
         F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)) + F.max("n_other") * rest * rest).alias("length"))
     dots = tf.join(table, "term").groupBy("file", "no", "license").agg(
