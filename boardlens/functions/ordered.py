@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boardlens.session import settled
+
 CHUNK_SECONDS = 86_400
 CHUNK = "_chunk"
 
@@ -121,6 +123,23 @@ def running_min_before(
     return inside.join(carried, CHUNK).select(*df.columns, F.least("_in", "_carry").alias(name))
 
 
+def ranked(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add the position, from 1, of every row along ``order`` over the whole table.
+
+    Rows are range-partitioned on the whole order, so equal and missing times are
+    split as well. The partitioned copy is written, for the slices must not change
+    between counting and numbering; the prefix sums cover one row per slice.
+    """
+    cut = settled(
+        df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "ranked")
+    inside = cut.withColumn("_in", F.row_number().over(Window.partitionBy("_slice").orderBy(*order)))
+    slices = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_slice", F.coalesce(F.sum("_n").over(slices), F.lit(0)).alias("_before"))
+    return inside.join(offsets, "_slice").select(
+        *df.columns, (F.col("_in") + F.col("_before")).cast("bigint").alias(name))
+
+
 def range_join(
     windows: DataFrame,
     points: DataFrame,

@@ -20,6 +20,7 @@ def keyed(spi: DataFrame) -> DataFrame:
         "fdate": text("fdate"),
         "cmodel": text("cmodel"),
         "compname": text("compname"),
+        "machinename": text("machinename"),
         "ng": is_ng("comp_errname"),
     })
 

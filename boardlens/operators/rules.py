@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardlens.functions.ordered import running
+from boardlens.functions.ordered import ranked
 from boardlens.functions.scalars import deviation_percent, label_defect, limit_defect, text
 
 ABNORMAL_ORDER = ("ts", "board_sn", "component", "pad", "row_id")
@@ -64,10 +64,9 @@ def defects(contract: DataFrame) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, order: tuple[str, ...], column: str, prefix: str, digits: int, ts: str = "ts") -> DataFrame:
-    """Sequential ids in time order, without a single-task window."""
-    ranked = running(df, [], order, {"_no": F.lit(1).cast("bigint")}, ts=ts)
-    return ranked.withColumn(column, F.format_string(f"{prefix}%0{digits}d", "_no")).drop("_no")
+def numbered(df: DataFrame, order: tuple[str, ...], column: str, prefix: str, digits: int) -> DataFrame:
+    """Sequential ids along ``order``, numbered slice by slice."""
+    return ranked(df, order, "_no").withColumn(column, F.format_string(f"{prefix}%0{digits}d", "_no")).drop("_no")
 
 
 def abnormals(contract: DataFrame) -> DataFrame:
