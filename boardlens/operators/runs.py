@@ -20,14 +20,14 @@ def failing_points(points: DataFrame) -> DataFrame:
 
 def ng_runs(failing: DataFrame) -> DataFrame:
     """One row per maximal run of failing production points of a pad."""
-    at = F.struct(*SERIES_ORDER, "pidx", "machinename")
+    at = F.struct(*SERIES_ORDER, "pidx", "pos", "machinename")
     runs = failing.groupBy(*SERIES, "passes").agg(
         F.min(at).alias("a"), F.max(at).alias("z"), F.count(F.lit(1)).alias("run_length"))
     return runs.select(
         *SERIES, "passes", F.col("a.ts").alias("ts"), F.col("a.machinename").alias("machine"),
         F.col("a.barcode").alias("start_barcode"), F.col("a.fdate").alias("start_time"),
         F.col("z.barcode").alias("end_barcode"), F.col("z.fdate").alias("end_time"),
-        F.col("a.pidx").alias("start_pidx"), "run_length",
+        F.col("a.pidx").alias("start_pidx"), F.col("a.pos").alias("start_pos"), F.col("z.pos").alias("end_pos"), "run_length",
     )
 
 

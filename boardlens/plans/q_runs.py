@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from boardlens.functions.stats import r6
+from boardlens.operators import evidence as V
 from boardlens.operators import runs as U
 from boardlens.operators.inspections import pad_points
 from boardlens.plans.oracle import define
@@ -14,13 +16,38 @@ WINDOW w AS (PARTITION BY cmodel, compname ORDER BY ts, barcode, fdate, row_id)
 """)
 define("pad_runs", """
 SELECT cmodel, compname, passes, arg_min(machinename, pidx) AS machine, arg_min(barcode, pidx) AS start_barcode, arg_min(fdate, pidx) AS start_time,
- arg_max(barcode, pidx) AS end_barcode, arg_max(fdate, pidx) AS end_time, min(pidx) AS start_pidx, count(*) AS run_length
+ arg_max(barcode, pidx) AS end_barcode, arg_max(fdate, pidx) AS end_time, min(pidx) AS start_pidx, min(pos) AS start_pos, max(pos) AS end_pos, count(*) AS run_length
 FROM made_points WHERE ng GROUP BY cmodel, compname, passes
 """)
 define("run_triggers", """
 SELECT *, 'TRG-' || sha1(length(cmodel) || ':' || cmodel || length(compname) || ':' || compname || length(start_barcode) || ':' || start_barcode
  || length(start_time) || ':' || start_time) AS trigger_id FROM pad_runs WHERE run_length >= 3
 """)
+define("run_window", """
+SELECT t.trigger_id, p.pos, p.pos - t.start_pos AS seq, p.barcode, p.fdate, p.ng, p.is_recheck, p.comp_avdp, p.comp_aadp, p.comp_ahdp,
+ p.pos BETWEEN t.start_pos AND t.end_pos AND NOT p.is_recheck AS is_trigger, p.pos < t.start_pos AND NOT p.ng AND NOT p.is_recheck AS is_baseline
+FROM run_triggers t JOIN points p ON p.cmodel = t.cmodel AND p.compname = t.compname AND p.pos BETWEEN t.start_pos - 300 AND t.end_pos + 300
+""")
+define("run_values", """
+SELECT trigger_id, pos, is_trigger, is_baseline, unnest(['comp_avdp', 'comp_aadp', 'comp_ahdp']) AS metric,
+ unnest([comp_avdp, comp_aadp, comp_ahdp]) AS v FROM run_window
+""")
+define("run_stats", """
+SELECT trigger_id, metric, n, CASE WHEN n >= 5 THEN mean END AS mean, CASE WHEN n >= 5 THEN sd END AS sd, hit FROM (
+ SELECT trigger_id, metric, count(v) FILTER (is_baseline) AS n, avg(v) FILTER (is_baseline) AS mean, stddev_pop(v) FILTER (is_baseline) AS sd,
+  avg(v) FILTER (is_trigger) AS hit FROM run_values GROUP BY ALL)
+""")
+define("run_main", """
+SELECT trigger_id, CASE main_defect WHEN 'AREAOVER' THEN 'comp_aadp' WHEN 'Under Height' THEN 'comp_ahdp' ELSE 'comp_avdp' END AS metric FROM (
+ SELECT trigger_id, comp_errname AS main_defect, row_number() OVER (PARTITION BY trigger_id ORDER BY count(*) DESC, min(pidx)) AS place
+ FROM run_triggers JOIN (SELECT cmodel, compname, passes, comp_errname, pidx FROM made_points WHERE ng) USING (cmodel, compname, passes)
+ GROUP BY trigger_id, comp_errname) WHERE place = 1
+""")
+define("run_tail", """
+SELECT *, lag(v) OVER (PARTITION BY trigger_id ORDER BY pos) AS before FROM (
+ SELECT trigger_id, pos, v, row_number() OVER (PARTITION BY trigger_id ORDER BY pos DESC) AS back
+ FROM run_values JOIN run_main USING (trigger_id, metric) WHERE is_baseline AND v IS NOT NULL) WHERE back <= 20
+""")
 
 
 def tables(spark, sf):
@@ -29,8 +56,16 @@ def tables(spark, sf):
     return failing, U.ng_runs(failing)
 
 
+def evidence(spark, sf):
+    """Points around every trigger run, with the run's main metric."""
+    points = settled(pad_points(rows(spark, sf)), "points")
+    failing = U.failing_points(points)
+    triggers = settled(U.trigger_runs(U.ng_runs(failing)), "triggers")
+    return settled(V.run_window(triggers, points), "run-windows"), U.run_main_defect(triggers, failing).select("trigger_id", "metric")
+
+
 @query("trigger_runs", """
-SELECT trigger_id, cmodel, compname, machine, start_barcode, start_time, end_barcode, end_time, start_pidx, run_length FROM run_triggers""")
+SELECT trigger_id, cmodel, compname, machine, start_barcode, start_time, end_barcode, end_time, start_pidx, start_pos, end_pos, run_length FROM run_triggers""")
 def trigger_runs(spark, sf):
     return U.trigger_runs(tables(spark, sf)[1]).drop("passes", "ts")
 
@@ -53,3 +88,38 @@ SELECT cmodel, compname, run_count, coalesce(run_count >= 3 AND sd / mean_gap <
   SELECT *, start_pidx - lag(start_pidx) OVER (PARTITION BY cmodel, compname ORDER BY start_pidx) AS gap FROM pad_runs) GROUP BY ALL)""")
 def periodicity(spark, sf):
     return U.periodicity(tables(spark, sf)[1])
+
+
+@query("pad_series_window", "SELECT trigger_id, pos, seq, barcode, fdate, ng, is_recheck, is_trigger FROM run_window")
+def pad_series_window(spark, sf):
+    return evidence(spark, sf)[0].select("trigger_id", "pos", "seq", "barcode", "fdate", "ng", "is_recheck", "is_trigger")
+
+
+@query("baseline_stats", """
+SELECT trigger_id, metric, n AS baseline_points, round(mean, 6) AS mean, round(sd, 6) AS sigma, round(mean + 3 * sd, 6) AS upper,
+ round(CASE WHEN n >= 5 THEN greatest(mean - 3 * sd, 0) END, 6) AS lower FROM run_stats JOIN run_main USING (trigger_id, metric)""")
+def baseline_stats(spark, sf):
+    window, main = evidence(spark, sf)
+    out = V.baseline_stats(V.metric_stats(window), main)
+    return out.withColumns({c: r6(c) for c in ("mean", "sigma", "upper", "lower")})
+
+
+@query("metric_signature", """
+SELECT trigger_id, metric, round(hit - mean, 6) AS delta, round(greatest(3 * sd, 10 + 0 * sd), 6) AS band,
+ CASE WHEN hit - mean > greatest(3 * sd, 10) THEN 'up' WHEN hit - mean < -greatest(3 * sd, 10) THEN 'down' WHEN hit - mean IS NOT NULL THEN 'flat' END AS verdict FROM run_stats""")
+def metric_signature(spark, sf):
+    out = V.metric_signature(V.metric_stats(evidence(spark, sf)[0]))
+    return out.withColumns({c: r6(c) for c in ("delta", "band")})
+
+
+@query("change_type", """
+SELECT trigger_id, CASE WHEN mean IS NULL THEN 'unknown' WHEN slope >= 0.5 AND rise >= 3 THEN 'gradual' ELSE 'step' END AS change_type,
+ round(CASE WHEN mean IS NOT NULL THEN slope END, 6) AS slope, CASE WHEN mean IS NOT NULL THEN rise END AS tail_rise,
+ round(CASE WHEN mean IS NOT NULL THEN hit END, 6) AS trigger_mean, round(CASE WHEN mean <> 0 THEN hit / mean END, 6) AS jump_ratio
+FROM run_stats JOIN run_main USING (trigger_id, metric) LEFT JOIN (
+ SELECT trigger_id, coalesce(regr_slope(v, -back), 0) AS slope, coalesce(min(back) FILTER (NOT coalesce(v > before, false)), 1) - 1 AS rise FROM run_tail GROUP BY 1)
+ USING (trigger_id)""")
+def change_type(spark, sf):
+    window, main = evidence(spark, sf)
+    out = V.change_type(window, V.metric_stats(window), main)
+    return out.withColumns({c: r6(c) for c in ("slope", "trigger_mean", "jump_ratio")})
