@@ -187,7 +187,7 @@ def _earlier(df):
     """The rows an earlier snapshot would have held: the first half of the time range."""
     span = df.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
     cut = span.select(((F.unix_micros("low") + F.unix_micros("high")) / 2).alias("cut"))
-    return df.crossJoin(cut).where(F.unix_micros("ts") < F.col("cut")).drop("cut")
+    return df.where(F.unix_micros("ts") < cut.scalar())
 
 
 @query("snapshot_new_keys", """
