@@ -7,8 +7,9 @@ over the corpus's lines, log(N n(e,t) / (n(e) n(t))), comes near the entity's
 own information log(N / n(e)). Their ratio is the disclosure: 1 means that the
 term occurs with the entity only. Terms of ``REMOVE`` or more are removed, those
 of ``GENERALISE`` or more replaced by a general word, in the lines that hold the
-entity. An entity and a term must share ``SUPPORT`` different lines, as one line
-is no estimate.
+entity. All terms of an entity's lines are judged. Of a pair that shares a single
+different line the disclosure is weighted by 1 - n(t) / N, the share of lines in which
+the term is not met by chance anyway, before it is compared with ``GENERALISE``.
 
 Counts run over all lines of all texts. NULL text is empty; a text without an
 entity gets no span; rows equal in doc_id and text are judged alike; extra
@@ -33,7 +34,6 @@ from boardlens.llm.tokens import pieces
 from boardlens.session import settled
 
 GENERALISE, REMOVE = 0.9, 1.0
-SUPPORT = 2
 #: Terms whose lines are counted in one broadcast array; beyond that all terms are counted and joined.
 BROADCAST_TERMS = 500_000
 KINDS = ("email", "ip", "card", "phone")
@@ -166,8 +166,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
             _line_terms, "entity bigint, unit bigint, terms array<bigint>")
         .select("entity", "unit", F.explode("terms").alias("term"))
         .groupBy("entity", "term", "unit").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("units"))
-        .where(F.col("units") >= SUPPORT).select("entity", "term", "n_et"), "met-terms")
+        .groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("units")), "met-terms")
     n_e = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     wanted = met.select("term").distinct()
     terms = None
@@ -179,7 +178,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
         .groupBy("term").agg(F.sum("n").alias("n_t")), "term-lines")
     total = lines.where("term IS NULL").agg(F.coalesce(F.max("n_t"), F.lit(0))).first()[0]
     ratio = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-    action = F.when(F.col("ratio") >= REMOVE - 1e-12, ADDED[1]).when(F.col("ratio") >= GENERALISE, ADDED[0])
+    sure = F.when(F.col("units") > 1, 1.0).otherwise(1 - F.col("n_t") / F.lit(float(total)))
+    action = F.when(F.col("ratio") * sure >= GENERALISE, F.when(F.col("ratio") >= REMOVE - 1e-12, ADDED[1]).otherwise(ADDED[0]))
     return (
         met.join(n_e, "entity").join(lines.where("term IS NOT NULL"), "term").where(F.col("n_e") < total)
         .withColumn("ratio", ratio).select("entity", "term", action.alias("action")).where("action IS NOT NULL"))
