@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boardlens.llm import conversations, decontam, jaccard, licenses, lines, lm, mixing, pii, quality, substrings, urls
+from boardlens.llm import conversations, decontam, fingerprints, jaccard, licenses, lines, lm, mixing, pii, quality, substrings, urls, whitening
 
 QUERIES = {}
 ORACLES = {}
@@ -87,6 +87,16 @@ def op4_license_scan(spark, sf):
     return found.withColumn("doc_id", F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("bigint"))
 
 
+@query("op11_document_fingerprints")
+def op11_document_fingerprints(spark, sf):
+    return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 @query("op13_conversation_trie", conversations.ORACLE)
 def op13_conversation_trie(spark, sf):
     return conversations.prefix_trie(table(spark, sf, "conversations"))
