@@ -47,9 +47,7 @@ RECOVERY_BOARDS = 3
 HIT_HORIZON = 50
 STALE_BOARDS = 100
 PAGE_LEVEL = 3
-ACCEPT_ROUNDS = 5
 SERIES_CONTEXT = 20
-SERIES_MAX = 120
 
 RECENT_BOARDS = 3000
 
@@ -72,7 +70,7 @@ AFFECTED_TRIPLES = (
     "printspeed", "frontsqgpress", "rearsqgpress", "snapoffspeed", "cleaningfrequency",
 )
 
-# Columns of an export that are text; fdate is a timestamp, the rest double.
+# Columns of an export that are text; fdate is a timestamp, the rest double.
 TEXT_COLUMNS = (
     "machinename", "cmodel", "barcode", "printmode", "printmode_plan", "printdirection",
     "pcbsize", "compname", "comp_errname",
