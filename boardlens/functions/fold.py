@@ -14,6 +14,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def _cuts(batch: pa.RecordBatch, keys: Sequence[str]) -> list[int]:
@@ -40,9 +41,7 @@ def ordered_fold(
     """
     names = [part.strip().split(" ")[0] for part in _top_level(added)]
     extra = df.sparkSession.createDataFrame([], added).schema
-    schema = df.schema
-    for field in extra:
-        schema = schema.add(field)
+    schema = T.StructType([*df.schema.fields, *extra.fields])
     keys = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

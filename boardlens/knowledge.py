@@ -37,3 +37,28 @@ PATTERN_AXES = {
 
 # Extents that a failure event's scope covers.
 EVENT_EXTENTS = {"BOARD_WIDE": (BOARD,), "LOCAL": (SINGLE, COMPONENT, LOCAL)}
+
+# The decision ladder. Step, order, and whether it nominates (the others adjust confidences).
+STEPS = (
+    ("spi_false_alarm_gate", 10), ("parameter_recovery", 20), ("parameter_drift", 21), ("periodic_recurrence", 30),
+    ("scope_prior", 50), ("trend_shape", 60), ("mechanism_projection", 70),
+)
+
+# Priors of rules and factors of the confidence.
+PRIORS = {"spi_false_alarm": "0.85", "recovery": "0.85", "periodic": "0.80", "drift": "0.75", "trend": "0.60"}
+SCOPE_PRIORS = {
+    (SINGLE, "OVER"): ("understencil_residue", "0.70"), (SINGLE, "UNDER"): ("aperture_clogging", "0.70"),
+    (COMPONENT, "OVER"): ("understencil_residue", "0.70"), (COMPONENT, "UNDER"): ("aperture_clogging", "0.70"),
+    (LOCAL, "OVER"): ("poor_gasketing", "0.65"), (LOCAL, "UNDER"): ("aperture_clogging", "0.65"),
+    (BOARD, "OVER"): ("paste_rheology_drift", "0.65"), (BOARD, "UNDER"): ("supply_interruption", "0.65"),
+}
+DRIFT_GROUPS = (("snapoff", "poor_release"), ("sqg", "parameter_mismatch"), ("cleaning", "cleaning_cycle_mismatch"))
+CROSS_MODEL, ALIGNED, SIGNATURE_MATCH, SIGNATURE_CONFLICT, TYPICAL, ATYPICAL, CONFIDENCE_CAP = "0.8", "1.15", "1.2", "0.7", "1.1", "0.9", "0.95"
+ALIGNMENT_TOLERANCE = 0.2
+LEVELS = (("0.75", "HIGH"), ("0.5", "MEDIUM"))
+
+# What to do first, with its priority.
+DISPOSITIONS = {
+    "data_continuity_review": "P3", "spi_program_review": "P2", "immediate_field_check": "P1", "halt_and_contain": "P1",
+    "confirm_primary_cause": "P2", "fast_single_point_check": "P3",
+}

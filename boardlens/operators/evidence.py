@@ -27,11 +27,12 @@ def run_window(triggers: DataFrame, points: DataFrame, reach: int = PAD_WINDOW)
         "trigger_id", *SERIES, "start_pos", "end_pos",
         F.greatest(F.col("start_pos") - reach, F.lit(0)).alias("low"), (F.col("end_pos") + reach).alias("high"))
     near = range_join(
-        spans, points.select(*SERIES, "pos", "barcode", "fdate", "ng", "is_recheck", *METRICS),
+        spans, points.select(*SERIES, "pos", "row_id", "barcode", "fdate", "ng", "is_recheck", *METRICS),
         SERIES, "low", "high", "pos", 2 * reach)
     made = ~F.col("is_recheck")
     return near.withColumns({
         "seq": F.col("pos") - F.col("start_pos"),
+        "in_run": F.col("pos").between(F.col("start_pos"), F.col("end_pos")),
         "is_trigger": F.col("pos").between(F.col("start_pos"), F.col("end_pos")) & made,
         "is_baseline": (F.col("pos") < F.col("start_pos")) & ~F.col("ng") & made,
     }).drop("low", "high", "start_pos", "end_pos")

@@ -11,24 +11,30 @@ from boardlens.functions.stats import r6
 from boardlens.operators import drift as D
 from boardlens.operators import mechanisms as M
 from boardlens.operators.inspections import monitor_points
-from boardlens.plans.registry import query, rows
+from boardlens.plans.registry import query, rows, shared
 from boardlens.session import settled
 
 EPISODE = ("warning_id", "cmodel", "compname", "start_index", "start_barcode", "start_time", "level", "boards_above", "last_index",
            "l2_index", "l2_time", "l3_index", "end_index")
 
 
-def trace(spark, sf, pairs=D.DEFAULT):
-    return settled(D.walked(D.watched_points(rows(spark, sf)), pairs), "drift-trace")
+@shared
+def watched(spark, sf):
+    return settled(D.watched_points(rows(spark, sf)), "watched")
 
 
-def found(spark, sf, pairs=D.DEFAULT):
+def walk_of(points, pairs):
     """Trace, episodes and totals of all series."""
-    walk = trace(spark, sf, pairs)
+    walk = settled(D.walked(points, pairs), "drift-trace")
     totals = settled(D.series_totals(walk), "drift-totals")
     return walk, settled(D.episodes(D.graded(walk, pairs), totals), "drift-episodes"), totals
 
 
+@shared
+def found(spark, sf):
+    return walk_of(watched(spark, sf), D.DEFAULT)
+
+
 @query("ng_floor", "SELECT ts, round(floor_before, 6) AS floor_before FROM watch_floor")
 def ng_floor(spark, sf):
     return D.ng_floors(monitor_points(rows(spark, sf))).select("ts", r6("floor_before").alias("floor_before"))
@@ -39,7 +45,7 @@ SELECT cmodel, compname, idx, ['comp_avdp', 'comp_aadp', 'comp_ahdp'][lane % 3 +
  round(sd, 6) AS sigma, round(lim, 6) AS upper, crossed, CAST(streak AS BIGINT) AS streak
 FROM walked JOIN watch_series ON sid = lane // 3 WHERE idx >= 0""")
 def ewma_monitor(spark, sf):
-    out = D.metric_trace(D.walked(D.watched_points(rows(spark, sf))))
+    out = D.metric_trace(found(spark, sf)[0])
     return out.select(*D.SERIES, "idx", "metric", *[r6(c).alias(c) for c in ("ewma", "center", "sigma", "upper")], "crossed",
                       F.col("streak").cast("bigint").alias("streak"))
 
@@ -47,7 +53,7 @@ def ewma_monitor(spark, sf):
 @query("warning_levels", """
 SELECT cmodel, compname, idx, barcode, fdate, CAST(n_metrics AS BIGINT) AS n_metrics, CAST(longest AS BIGINT) AS longest, CAST(level AS BIGINT) AS level FROM drift_levels""")
 def warning_levels(spark, sf):
-    return D.graded(D.walked(D.watched_points(rows(spark, sf)))).select(
+    return D.graded(found(spark, sf)[0]).select(
         *D.SERIES, "idx", "barcode", "fdate", *[F.col(c).cast("bigint").alias(c) for c in ("n_metrics", "longest", "level")])
 
 
@@ -95,7 +101,7 @@ def backtest_outcomes(spark, sf):
 
 @query("backtest_grid", _score("(SELECT CAST(pair // 3 + 1 AS DOUBLE) / CAST(10 AS DOUBLE) AS lam, CAST(5 + pair % 3 AS DOUBLE) / CAST(2 AS DOUBLE) AS width, l2, hits FROM range(9) p(pair) LEFT JOIN grid_score USING (pair))"))
 def backtest_grid(spark, sf):
-    walk, warned, totals = found(spark, sf, D.GRID)
+    walk, warned, totals = walk_of(watched(spark, sf), D.GRID)
     return D.backtest(warned, walk, totals, D.GRID).withColumn("false_per_100_boards", r6("false_per_100_boards"))
 
 
@@ -164,7 +170,7 @@ def warning_mechanisms(spark, sf):
 @query("accept_baseline", "SELECT cmodel, compname, CAST(restarts AS BIGINT) AS restarts, boards, ng_count, episodes, CAST(level AS BIGINT) AS level FROM accepted_series")
 def accept_baseline(spark, sf):
     """Accepted here: every warning that a board could raise and whose id begins with a digit below 8."""
-    points = D.watched_points(rows(spark, sf))
+    points = watched(spark, sf)
     ids = points.select(stable_id("WRN-", *D.SERIES, "barcode", "fdate").alias("warning_id"))
     walk = settled(D.with_accepted(points, ids.where(F.substring("warning_id", 5, 1) < "8")), "accepted-trace")
     totals = settled(D.series_totals(walk), "accepted-totals")

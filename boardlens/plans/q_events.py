@@ -6,7 +6,7 @@ from boardlens.functions.stats import r6
 from boardlens.operators import events as E
 from boardlens.operators.inspections import first_inspection_rows, inspections
 from boardlens.plans.oracle import define
-from boardlens.plans.registry import query, rows
+from boardlens.plans.registry import query, rows, shared
 from boardlens.session import settled
 
 define("dir_defects", """
@@ -57,12 +57,13 @@ SELECT event_id, metric, count(v) AS n, avg(v) AS mean, coalesce(regr_slope(v, p
 """)
 
 
+@shared
 def tables(spark, sf):
     """Inspection rows, events and their boards; the boards are settled once."""
     base = rows(spark, sf)
     members = settled(E.event_boards(settled(E.direction_boards(base), "failing-boards")), "event-boards")
     events = settled(E.ng_events(members), "events")
-    return base, events, E.event_members(members, events)
+    return base, events, settled(E.event_members(members, events), "event-members")
 
 
 def _mains(base, members):

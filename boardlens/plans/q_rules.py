@@ -8,7 +8,7 @@ from boardlens.functions.stats import r6
 from boardlens.operators import dashboard as D
 from boardlens.operators import rules as R
 from boardlens.operators.inspections import first_inspection_rows, keyed, normalized
-from boardlens.plans.registry import query, rows
+from boardlens.plans.registry import query, rows, shared
 from boardlens.schema import RECENT_BOARDS
 from boardlens.session import settled
 from boardlens.sources.readers import recent_boards
@@ -19,19 +19,22 @@ def pad_totals(contract):
     return contract.groupBy("board_sn").agg(F.max("total_pads").alias("total_pads"))
 
 
+@shared
 def abnormal_rows(spark, sf):
     contract = normalized(first_inspection_rows(rows(spark, sf)), ())
     return settled(R.abnormals(contract), "abnormals")
 
 
+@shared
 def abnormal_results(spark, sf):
     found = abnormal_rows(spark, sf)
-    return R.classified(found, pad_totals(found))
+    return settled(R.classified(found, pad_totals(found)), "results")
 
 
+@shared
 def case_tables(spark, sf):
-    results = settled(abnormal_results(spark, sf), "results")
-    return results, R.quality_cases(results)
+    results = abnormal_results(spark, sf)
+    return results, settled(R.quality_cases(results), "cases")
 
 
 def worked(cases):

@@ -7,7 +7,7 @@ from boardlens.operators import evidence as V
 from boardlens.operators import runs as U
 from boardlens.operators.inspections import pad_points
 from boardlens.plans.oracle import define
-from boardlens.plans.registry import query, rows
+from boardlens.plans.registry import query, rows, shared
 from boardlens.session import settled
 
 define("made_points", """
@@ -50,24 +50,35 @@ SELECT *, lag(v) OVER (PARTITION BY trigger_id ORDER BY pos) AS before FROM (
 """)
 
 
+@shared
+def points(spark, sf):
+    return settled(pad_points(rows(spark, sf)), "points")
+
+
+@shared
 def tables(spark, sf):
-    """Failing points and the runs they form; the points are settled once."""
-    failing = settled(U.failing_points(pad_points(rows(spark, sf))), "failing-points")
-    return failing, U.ng_runs(failing)
+    """Failing points and the runs they form."""
+    failing = settled(U.failing_points(points(spark, sf)), "failing-points")
+    return failing, settled(U.ng_runs(failing), "runs")
+
+
+@shared
+def triggers(spark, sf):
+    return settled(U.trigger_runs(tables(spark, sf)[1]), "triggers")
 
 
+@shared
 def evidence(spark, sf):
     """Points around every trigger run, with the run's main metric."""
-    points = settled(pad_points(rows(spark, sf)), "points")
-    failing = U.failing_points(points)
-    triggers = settled(U.trigger_runs(U.ng_runs(failing)), "triggers")
-    return settled(V.run_window(triggers, points), "run-windows"), U.run_main_defect(triggers, failing).select("trigger_id", "metric")
+    long = triggers(spark, sf)
+    window = settled(V.run_window(long, points(spark, sf)), "run-windows")
+    return window, settled(U.run_main_defect(long, tables(spark, sf)[0]), "run-defects").select("trigger_id", "metric")
 
 
 @query("trigger_runs", """
 SELECT trigger_id, cmodel, compname, machine, start_barcode, start_time, end_barcode, end_time, start_pidx, start_pos, end_pos, run_length FROM run_triggers""")
 def trigger_runs(spark, sf):
-    return U.trigger_runs(tables(spark, sf)[1]).drop("passes", "ts")
+    return triggers(spark, sf).drop("passes", "ts")
 
 
 @query("run_main_defect", """
@@ -77,8 +88,7 @@ SELECT trigger_id, main_defect, CASE main_defect WHEN 'AREAOVER' THEN 'comp_aadp
  FROM run_triggers JOIN (SELECT cmodel, compname, passes, comp_errname, pidx FROM made_points WHERE ng) USING (cmodel, compname, passes)
  GROUP BY trigger_id, comp_errname) WHERE place = 1""")
 def run_main_defect(spark, sf):
-    failing, runs = tables(spark, sf)
-    return U.run_main_defect(U.trigger_runs(runs), failing)
+    return U.run_main_defect(triggers(spark, sf), tables(spark, sf)[0])
 
 
 @query("periodicity", """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,15 +12,35 @@ import boardlens.plans.oracle.base  # noqa: F401
 import boardlens.plans.oracle.rules  # noqa: F401
 from boardlens.operators.inspections import keyed
 from boardlens.plans.oracle import with_ctes
+from boardlens.session import settled
 from boardlens.sources.spi import spi_rows
 
+T = TypeVar("T")
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def shared(make: Callable[[SparkSession, str], T]) -> Callable[[SparkSession, str], T]:
+    """Tables that several queries of a session start from: made once for the folder in use, then read."""
+    kept: dict[tuple[str, str], T] = {}
+
+    @functools.wraps(make)
+    def once(spark: SparkSession, folder: str) -> T:
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in kept:
+            kept.clear()
+            kept[key] = make(spark, folder)
+        return kept[key]
+
+    return once
+
+
+@shared
 def rows(spark: SparkSession, folder: str) -> DataFrame:
-    return keyed(spi_rows(spark, folder))
+    """The inspection table, written once: every query reads the columns it needs."""
+    return settled(keyed(spi_rows(spark, folder)), "inspections")
 
 
 def query(name: str, sql: str | None = None):
