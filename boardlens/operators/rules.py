@@ -17,6 +17,7 @@ PATTERN_AXES = {
     "COMPONENT_MULTI_PAD": ("spatial.component_multi_pad", "temporal.sporadic"),
     "SPORADIC": ("spatial.single_pad", "temporal.sporadic"),
 }
+# Thresholds of the patterns.
 REPEAT_BOARDS = 3
 TREND_HIGH = 0.10
 TREND_MEDIUM = 0.05
@@ -26,7 +27,7 @@ def defects(contract: DataFrame) -> DataFrame:
     """Rows of the contract with a defect: by label, else by limits."""
     have = set(contract.columns)
     has_limits = {"volume", "volume_upper", "volume_lower"} <= have
-    direction, metric = label_defect("raw_ng_type")
+    direction, metric = label_defect("raw_ng_type") if "raw_ng_type" in have else (F.lit(None).cast("string"),) * 2
     found = F.when(
         direction.isNotNull(), F.struct(direction.alias("defect"), metric.alias("metric"))
     )

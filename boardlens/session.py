@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -50,9 +51,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+_WORKSPACES: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder (or the open workspace) that no other run uses."""
+    top = _WORKSPACES[-1] if _WORKSPACES else shared_dir(spark).rstrip("/")
+    return f"{top}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession, label: str):
+    """While open, intermediates go to a folder of its own, which is removed at the end.
+
+    DataFrames that read from it must have been written elsewhere by then.
+    """
+    folder = new_folder(spark, label)
+    _WORKSPACES.append(folder)
+    try:
+        yield folder
+    finally:
+        _WORKSPACES.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settled(df, label: str):
