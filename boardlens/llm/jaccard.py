@@ -9,7 +9,10 @@ threshold is met with the target recall. What the buckets tie together forms
 candidate groups; inside a group every two documents are compared exactly on
 their whole shingle sets, in pairs of blocks of bounded size, and a block pair
 returns one row per document (its links there) and a spanning set of links.
-Equal texts are one node with a number of copies, so copies cost nothing.
+What is sent to the block pairs is each document's difference from one member of
+its group: sizes of intersections follow from differences alone, and those of near
+copies are short. Equal texts are one node with a number of copies, so copies cost
+nothing.
 
 NULL and blank texts have no shingles and no links, not even to each other.
 Repeated rows are copies. Extra columns are ignored; an empty table gives an
@@ -38,7 +41,8 @@ DEPTH = 4
 SMALL = 50
 RECALL = 0.999
 SLACK = 0.25  # five standard deviations of the estimate from 64 minima
-BLOCK = 100
+#: Documents, and shingles in all, of a block; a task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 500, 2_000_000
 _FACTORS = mix(np.arange(MINIMA), 71) | np.uint64(1)
 
 
@@ -97,8 +101,9 @@ def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.arange(len(head) + 1) * MINIMA
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").take(pa.array(owner[head] + a)),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(low.view(np.int32).ravel()))],
-                ["node", "minima"])
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(low.view(np.int32).ravel())),
+                 pa.array(np.diff(np.append(head, len(owner))))],
+                ["node", "minima", "size"])
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,6 +186,38 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["node", "copies", "label", "blocks", "shingles"])
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a block as differences from their group's representative, which comes first in its block.
+
+    Signed by position: shingles that the member lacks, then those it has besides.
+    """
+    of, base = None, np.zeros(0, np.int64)
+    for batch in batches:
+        shingles = batch.column("shingles")
+        values, ends = shingles.flatten().to_numpy(), np.diff(np.asarray(shingles.offsets))
+        starts = np.cumsum(ends) - ends
+        keys = list(zip(batch.column("label").to_pylist(), batch.column("to").to_pylist(), strict=True))
+        own = batch.column("own").to_pylist()
+        keep, lists, lacks = [], [], []
+        for i, key in enumerate(keys):
+            mine = values[starts[i]:starts[i] + ends[i]]
+            if key != of:
+                of, base = key, mine.copy()
+            if own[i]:
+                gone, more = np.setdiff1d(base, mine, assume_unique=True), np.setdiff1d(mine, base, assume_unique=True)
+                keep.append((i, len(base), ends[i]))
+                lists.append(np.concatenate((gone, more)))
+                lacks.append(len(gone))
+        if keep:
+            rows = pa.array([k[0] for k in keep])
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(rows) for c in ("node", "copies", "label", "blocks", "to")],
+                 pa.array([k[1] for k in keep], pa.int64()), pa.array([k[2] for k in keep], pa.int64()), pa.array(lacks, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists), pa.int64()))],
+                ["node", "copies", "label", "blocks", "block", "base", "size", "lacks", "change"])
+
+
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks of one group: links per member, and one link to its group's smallest here."""
     out: list[list] = [[], [], []]
@@ -192,18 +229,21 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in groups(batches, ["label", "low", "high"]):
         n = len(group)
         if n > 1:
-            shingles = group.column("shingles")
-            size = np.diff(np.asarray(shingles.offsets))
-            values, token = np.unique(np.asarray(shingles.flatten()), return_inverse=True)
-            owner = np.repeat(np.arange(n), size)
+            change = group.column("change")
+            length = np.diff(np.asarray(change.offsets))
+            size, lacks, base = (group.column(c).to_numpy() for c in ("size", "lacks", "base"))
+            values, token = np.unique(np.asarray(change.flatten()), return_inverse=True)
+            owner = np.repeat(np.arange(n), length)
             uses = np.bincount(token, minlength=len(values))
             rank = np.cumsum(uses > 1) - 1
             keep = uses[token] > 1
             owner, token = owner[keep], rank[token[keep]]
-            both = np.zeros((n, n))
+            # Shingles of both: those of the representative less what either lacks, and the changes that agree.
+            # A shingle is either lacked or had besides, so equal changes have equal signs.
+            both = base[:, None] - lacks[:, None] - lacks[None, :].astype(np.float64)
             order = np.argsort(token, kind="stable")
             owner, token = owner[order], token[order]
-            width = 20_000
+            width = 4096
             for a in range(0, int(token[-1]) + 1 if len(token) else 0, width):
                 lo, hi = np.searchsorted(token, (a, a + width))
                 part = np.zeros((n, width), np.float32)
@@ -236,23 +276,32 @@ def node_links(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, Data
     """Nodes (node, copies) with shingles, and node, root, links for every node with a similar one."""
     texts = columns_or_null(docs, text="string").select(node_key().alias("node"), text_of().alias("text"))
     nodes = settled(
-        texts.mapInArrow(_minima, "node binary, minima array<int>")
-        .groupBy("node").agg(F.first("minima").alias("minima"), F.count(F.lit(1)).alias("copies")), "nodes")
+        texts.mapInArrow(_minima, "node binary, minima array<int>, size bigint")
+        .groupBy("node").agg(F.first("minima").alias("minima"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies")), "nodes")
     labels = components(candidates(nodes, recall))
-    sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = settled(
-        labels.join(sizes, "label").join(nodes.select("node", "copies"), "node").select(
-            "node", "copies", "label", "blocks"), "members")
+    sized = labels.join(nodes.select("node", "copies", "size"), "node")
+    sizes = sized.groupBy("label").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = settled(sized.join(sizes, "label").select("node", "copies", "label", "blocks"), "members")
     named = texts.join(members, "node").groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("text", "copies", "label", "blocks")])
     sets = named.mapInArrow(
         _sets, "node binary, copies bigint, label binary, blocks int, shingles array<bigint>")
+    # The member that names the group is its representative, and goes to every block of it.
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = sets.withColumn("block", block).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named_after = F.col("node") == F.col("label")
+    dealt = sets.withColumn("block", block).withColumn(
+        "to", F.explode(F.when(named_after, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    dealt = dealt.withColumns({"own": F.col("to") == F.col("block"), "later": ~named_after})
+    changes = (
+        dealt.select("label", "to", "later", "own", "node", "copies", "blocks", "shingles")
+        .repartition("label", "to").sortWithinPartitions("label", "to", "later")
+        .mapInArrow(_differences, "node binary, copies bigint, label binary, blocks int, block int, base bigint, size bigint, "
+                                  "lacks bigint, change array<bigint>"))
+    placed = changes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     exact = (
-        placed.select("label", "low", "high", "block", "node", "copies", "shingles")
+        placed.select("label", "low", "high", "block", "node", "copies", "base", "size", "lacks", "change")
         .repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
         .mapInArrow(_exact, "node binary, root binary, links bigint"))
     return nodes, settled(exact, "exact-links")
