@@ -153,15 +153,32 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE)
     return best.select("file", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"))
 
 
-def scan(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE) -> DataFrame:
-    """path, license, cosine, inherited_from (directory, NULL if its own) for every distinct file."""
+def scan_rows(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE) -> DataFrame:
+    """Every row of ``files`` (all columns, repeated rows too) with what ``scan`` finds for its path and text."""
+    files = files.select("*", F.coalesce(F.col("path"), F.lit("")).alias("_path"), text_of().alias("_text"))
+    found = scan(files.select(F.col("_path").alias("path"), F.col("_text").alias("text")), templates, cosine, keyed=True)
+    names = ("license", "cosine", "inherited_from")
+    kept = [c for c in files.columns if c not in ("_path", "_text", *names)]
+    return files.withColumn("_file", _file_key("_path", "_text")).select("_file", *kept).join(
+        found.select(F.col("file").alias("_file"), *names), "_file").select(*kept, *names)
+
+
+def _file_key(path: str, text: str):
+    return F.md5(F.concat(F.length(path).cast("string"), F.lit(":"), F.col(path), F.col(text)).cast("binary"))
+
+
+def scan(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE, keyed: bool = False) -> DataFrame:
+    """path, license, cosine, inherited_from (directory, NULL if its own) for every distinct file.
+
+    With ``keyed`` the file's key (a digest of path and text) comes along. NULL paths
+    and texts are empty; long texts are read whole, line by line and block by block.
+    """
     files = columns_or_null(files, path="string", text="string").select(
         F.coalesce("path", F.lit("")).alias("path"), text_of().alias("text"))
-    keyed = files.select(
-        F.md5(F.concat(F.length("path").cast("string"), F.lit(":"), F.col("path"), F.col("text")).cast("binary")).alias("file"),
-        "path", "text", F.col("path").rlike(NAMES).alias("is_license"))
-    own = settled(own_licenses(keyed, templates, cosine), "own-licenses")
-    named = settled(keyed.select("file", "path", "is_license").distinct().join(own, "file", "left"), "licensed-files")
+    rows = files.select(
+        _file_key("path", "text").alias("file"), "path", "text", F.col("path").rlike(NAMES).alias("is_license"))
+    own = settled(own_licenses(rows, templates, cosine), "own-licenses")
+    named = settled(rows.select("file", "path", "is_license").distinct().join(own, "file", "left"), "licensed-files")
     parts = F.split("path", "/")
     parent = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
     directories = (
@@ -176,6 +193,6 @@ def scan(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE) -> DataF
         ancestors.select("file", "a.depth", "a.dir").join(directories, "dir").groupBy("file")
         .agg(F.max_by(F.struct("dir", "d"), "depth").alias("n")))
     return named.join(nearest, "file", "left").select(
-        "path", F.coalesce("license", F.col("n.d.license")).alias("license"),
+        *(["file"] if keyed else []), "path", F.coalesce("license", F.col("n.d.license")).alias("license"),
         F.coalesce("cosine", -F.col("n.d.less")).alias("cosine"),
         F.when(F.col("license").isNull(), F.col("n.dir")).alias("inherited_from"))

@@ -83,8 +83,7 @@ def op4_license_scan(spark, sf):
         "/", "source", F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100 % 10").cast("string"),
         F.concat(number.cast("string"), F.lit(".txt"))))
     files = table(spark, sf, "documents").select("doc_id", path.alias("path"), "text")
-    found = licenses.scan(files)
-    return found.withColumn("doc_id", F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("bigint"))
+    return licenses.scan_rows(files).select("doc_id", "path", "license", "cosine", "inherited_from")
 
 
 @query("op11_document_fingerprints")

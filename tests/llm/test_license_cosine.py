@@ -79,3 +79,16 @@ def test_cosines_of_lines_and_whole_files(spark, prose):
             assert got[path][0] == w[0] and abs(got[path][1] - w[1]) < 2e-6
         else:
             assert got[path][0] is None
+
+
+def test_rows_keep_their_ids(spark, tmp_path):
+    """NULL, negative and repeated ids, and sources that end in digits, come back as they are."""
+    from boardlens.llm import queries
+
+    text = "Licensed under the Apache License, Version 2.0."
+    rows = [(None, text, "web"), (None, "plain", "src3"), (-5, text, "src3"), (7, "x", None), (7, "x", None), (8, None, "a"), (25, text, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op4_license_scan"](spark, f"file://{tmp_path}").collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    assert {r.doc_id for r in got if r.license == "apache-2.0" and r.inherited_from is None} == {None, -5, 25}
