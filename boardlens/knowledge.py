@@ -62,3 +62,14 @@ DISPOSITIONS = {
     "data_continuity_review": "P3", "spi_program_review": "P2", "immediate_field_check": "P1", "halt_and_contain": "P1",
     "confirm_primary_cause": "P2", "fast_single_point_check": "P3",
 }
+
+# Identifiers of the two defect directions, of the causes that are no mechanism, and the
+# spellings under which a direction appears; a mechanism's identifier is its name after ``mech.``.
+DIRECTION_CONCEPTS = {"OVER": "defect.over_volume", "UNDER": "defect.insufficient_volume"}
+DIRECTION_LABELS = {
+    "OVER": ("OVER", "多锡", "Over Volume", "过量"), "UNDER": ("UNDER", "少锡", "Insufficient Volume", "少量"),
+}
+CAUSE_CONCEPTS = {
+    "trend_gradual": "root_cause.cumulative_state_degradation", "trend_step": "root_cause.discrete_process_change",
+    "local_printing_state": "root_cause.local_printing_state",
+}

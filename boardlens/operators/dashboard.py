@@ -89,8 +89,9 @@ def case_metrics(cases: DataFrame) -> DataFrame:
 
 
 def new_keys(current: DataFrame, before: DataFrame, keys: tuple[str, ...] = ABNORMAL_KEY) -> DataFrame:
-    """Rows whose key was absent from the earlier snapshot."""
-    return current.join(before.select(*keys), list(keys), "left_anti")
+    """Rows whose key was absent from the earlier snapshot; NULL equals NULL."""
+    earlier = before.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return current.join(earlier, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
 
 
 def metric_delta(current: DataFrame, before: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from boardlens.functions.scalars import component_of, direction_matches, strippe
 from boardlens.operators.parameters import main_value
 from boardlens.operators.runs import SERIES
 from boardlens.schema import (
-    BOARD_WIDE_MIN_ROWS, BOARD_WIDE_SHARE, FALSE_ALARM_METRIC, LOCAL_MAX_SPAN, LOCAL_MIN_PADS, METRICS, ROW_WINDOW, parameter_names,
+    BOARD_WIDE_MIN_ROWS, BOARD_WIDE_SHARE, FALSE_ALARM_METRIC, LOCAL_MAX_SPAN, LOCAL_MIN_PADS, METRICS, PAD_WINDOW,
+    PERIODIC_MIN_RUNS, PRECURSOR_BOARDS, ROW_WINDOW, parameter_names,
 )
 
 TOP = 5
@@ -202,3 +203,43 @@ def observation(
             "drifted_parameters": F.coalesce("drifted_parameters", none), "cross_model": F.coalesce("cross_model", F.lit(False)),
             "periodic": F.coalesce("periodic", F.lit(False))})
     )
+
+
+def trigger_findings(
+    triggers: DataFrame, window: DataFrame, kinds: DataFrame, scopes: DataFrame, recovered: DataFrame, drifts: DataFrame, periods: DataFrame,
+    reach: int = PAD_WINDOW, tail: int = PRECURSOR_BOARDS,
+) -> DataFrame:
+    """What can be said of every trigger, in order, with the part of its window (from, to) that shows it.
+
+    ``drifts`` is the parameter check with group_id; ``periods`` has run_count and periodic.
+    """
+    size = window.groupBy("trigger_id").agg(
+        (-F.min("seq")).alias("before"), F.max("seq").alias("last"), F.count_if(F.col("is_baseline")).alias("usual"),
+        F.min(F.when(~F.col("is_recheck") & ~F.col("in_run") & (F.col("seq") > 0), F.col("seq"))).alias("first_after"),
+        F.max(F.when(~F.col("is_recheck"), F.col("seq"))).alias("last_made"))
+    drifted = drifts.groupBy(F.col("group_id").alias("trigger_id")).agg(F.bool_or("drifted").alias("drifted"))
+    df = (
+        triggers.select("trigger_id", "run_length").join(size, "trigger_id").join(kinds.select("trigger_id", "change_type"), "trigger_id")
+        .join(scopes.select("trigger_id", "scope"), "trigger_id").join(recovered.select("trigger_id", "recovery", "recovered_seq", "end_seq"), "trigger_id")
+        .join(drifted, "trigger_id", "left").join(periods.select("trigger_id", "run_count", "periodic"), "trigger_id", "left"))
+    run = (F.lit(0), F.col("run_length") - 1)
+    none = (F.lit(None), F.lit(None))
+
+    def finding(code: Column, span: tuple[Column, Column] = none, when: Column | None = None) -> Column:
+        row = F.struct(code.alias("finding"), span[0].cast("bigint").alias("from_seq"), span[1].cast("bigint").alias("to_seq"))
+        return row if when is None else F.when(when, row)
+
+    rows = [
+        finding(F.lit("consecutive_failures"), run),
+        finding(F.concat(F.lit("change_"), "change_type"), (
+            F.when(F.col("change_type") == "gradual", -F.least(F.col("usual"), F.lit(tail))).when(F.col("change_type") == "step", run[0]),
+            F.when(F.col("change_type") == "gradual", F.lit(-1)).when(F.col("change_type") == "step", run[1]))),
+        finding(F.concat(F.lit("extent_"), "scope")),
+        finding(F.col("recovery"), (
+            F.when(F.col("recovery") == "recovered", F.col("recovered_seq")).when(F.col("recovery") == "not_recovered", F.col("first_after")),
+            F.when(F.col("recovery") == "recovered", F.col("recovered_seq")).when(F.col("recovery") == "not_recovered", F.col("last_made")))),
+        finding(F.when(F.coalesce("drifted", F.lit(False)), "parameters_drifted").otherwise("parameters_normal")),
+        finding(F.when(F.col("periodic"), "periodic").otherwise("not_periodic"), when=(F.col("run_count") >= PERIODIC_MIN_RUNS) | F.col("periodic")),
+        finding(F.lit("window_short"), when=(F.col("before") < reach) | (F.col("last") - F.col("end_seq") < reach)),
+    ]
+    return df.select("trigger_id", F.posexplode(F.array_compact(F.array(*rows))).alias("place", "f")).select("trigger_id", "place", "f.*")

@@ -11,7 +11,7 @@ from boardlens.functions.stats import slope, tail_rise
 from boardlens.operators.inspections import first_inspection_rows, inspections
 from boardlens.operators.rules import numbered
 from boardlens.schema import (
-    BOARD_WIDE_MIN_ROWS, BOARD_WIDE_SHARE, EVENT_GAP_MINUTES, METRICS, PRECURSOR_BOARDS,
+    BOARD_WIDE_MIN_ROWS, BOARD_WIDE_SHARE, EVENT_GAP_MINUTES, METRICS, PASS_SHIFT_RATIO, PRECURSOR_BOARDS,
     PRECURSOR_MIN_BOARDS, RISE_THRESHOLD, SLOPE_THRESHOLD,
 )
 
@@ -171,3 +171,49 @@ def event_components(members: DataFrame, rows: DataFrame) -> DataFrame:
     bad = rows.where("ng").select("barcode", "fdate", defect_direction("comp_errname").alias("direction"), "compname")
     return members.select("event_id", "barcode", "fdate", "direction").join(
         bad, ["barcode", "fdate", "direction"]).select("event_id", "compname").distinct()
+
+
+def event_defects(members: DataFrame, defects: DataFrame) -> DataFrame:
+    """Failing rows of every event per defect name."""
+    return members.join(defects, ["barcode", "fdate", "direction"]).groupBy("event_id", "defect").agg(F.sum("n").alias("n"))
+
+
+def pass_pad_shift(members: DataFrame, boards: DataFrame, mains: DataFrame, ratio: float = PASS_SHIFT_RATIO) -> DataFrame:
+    """Whether the passing pads of an event's boards lie ``ratio`` times above those of failure-free boards outside it.
+
+    ``boards`` are inspections. The boards outside are all failure-free ones less the
+    event's own rechecks, so a total per metric and a correction per event suffice.
+    """
+    long = boards.select("barcode", "fdate", "ng_count", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(f"pass_{m[len('comp_'):]}").alias("value")) for m in METRICS]))).where("value IS NOT NULL")
+    of = members.join(mains.select("event_id", "metric"), "event_id").select("event_id", "metric", "barcode", "fdate")
+    inside = of.join(long, ["metric", "barcode", "fdate"]).groupBy("event_id", "metric").agg(F.avg("value").alias("pass_mean"))
+    clean = long.where("ng_count = 0")
+    total = clean.groupBy("metric").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    own = of.select("event_id", "metric", "barcode").distinct().join(clean.select("metric", "barcode", "value"), ["metric", "barcode"]).groupBy(
+        "event_id").agg(F.sum("value").alias("own_total"), F.count("value").alias("own_n"))
+    left = F.col("n") - F.coalesce("own_n", F.lit(0))
+    usual = F.when(left > 0, (F.col("total") - F.coalesce("own_total", F.lit(0.0))) / left)
+    return inside.join(total, "metric", "left").join(own, "event_id", "left").select(
+        "event_id", "metric", "pass_mean", usual.alias("usual_mean"),
+        F.coalesce((usual > 0) & (F.col("pass_mean") >= ratio * usual), F.lit(False)).alias("shifted"))
+
+
+def event_findings(
+    events: DataFrame, shifts: DataFrame, precursors: DataFrame, drifts: DataFrame, rechecks: DataFrame, environment: DataFrame
+) -> DataFrame:
+    """What can be said of every event, in order: a row per finding.
+
+    ``drifts`` is the parameter check with event_id.
+    """
+    drifted = drifts.groupBy("event_id").agg(F.bool_or("drifted").alias("drifted"))
+    again = rechecks.groupBy("event_id").agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+    df = events.select("event_id", "scope").join(shifts.select("event_id", "shifted"), "event_id", "left").join(
+        precursors.select("event_id", "available", "has_precursor"), "event_id", "left").join(drifted, "event_id", "left").join(
+        again, "event_id", "left").withColumn("recorded", environment.scalar())
+    codes = F.array_compact(F.array(
+        F.lit("time_cluster"), F.when(F.col("scope") == "BOARD_WIDE", "board_wide"), F.when(F.col("shifted"), "pass_pads_shifted"),
+        F.when(F.col("has_precursor"), "precursor").when(F.coalesce("available", F.lit(False)), "no_precursor").otherwise("precursor_unknown"),
+        F.when(F.col("drifted"), "parameters_drifted").otherwise("parameters_normal"), F.when(F.col("passed") > 0, "recheck_passed"),
+        F.when(F.col("failed") > 0, "recheck_failed"), F.when(~F.col("recorded"), "environment_not_recorded")))
+    return df.select("event_id", F.posexplode(codes).alias("place", "finding"))

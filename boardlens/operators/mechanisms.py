@@ -86,3 +86,21 @@ def warning_mechanisms(warnings: DataFrame) -> DataFrame:
     extent = F.when(F.col("compname") == BOARD_SERIES, K.BOARD).otherwise(K.SINGLE)
     return warnings.select("warning_id", extent.alias("extent")).join(index, "extent").select(
         "warning_id", "mechanism", "place", F.lit(K.PROJECTION_PRIOR).alias("confidence"))
+
+
+def concepts(spark: SparkSession) -> DataFrame:
+    """(kind, label, concept) for every direction and cause, under all spellings; a mechanism wins over a cause of its name."""
+    rows = [("direction", label, K.DIRECTION_CONCEPTS[way]) for way, labels in K.DIRECTION_LABELS.items() for label in labels]
+    causes = K.CAUSE_CONCEPTS | {name: f"mech.{name}" for name, *_ in K.MECHANISMS}
+    rows += [("cause", label, concept) for label, concept in causes.items()]
+    return spark.createDataFrame(rows, "kind string, label string, concept string")
+
+
+def label_to_concept(rows: DataFrame, **columns: str) -> DataFrame:
+    """Adds ``<kind>_concept`` for each kind and the column that holds its label; NULL for labels nobody knows."""
+    table = concepts(rows.sparkSession)
+    for kind, column in columns.items():
+        of_kind = F.broadcast(table.where(F.col("kind") == kind).select(
+            F.col("label").alias("_label"), F.col("concept").alias(f"{kind}_concept")))
+        rows = rows.join(of_kind, F.col(column) == F.col("_label"), "left").drop("_label")
+    return rows

@@ -1,6 +1,7 @@
 """Shared expressions for the drift monitor: the walk along every series as a recursion."""
 
 import boardlens.plans.oracle.base  # noqa: F401
+import boardlens.plans.oracle.rules  # noqa: F401
 from boardlens.plans.oracle import define
 
 define("watch_rows", """
@@ -59,7 +60,7 @@ SELECT *, CASE WHEN (longest >= 3 OR n_metrics >= 2) AND (rising OR (volume AND
  WHEN longest >= 3 OR n_metrics >= 2 THEN 2 ELSE 1 END AS level
 FROM (SELECT lane // 300000 AS pair, lane // 3 % 100000 AS sid, idx, count(*) AS n_metrics, max(streak) AS longest, bool_or(rise >= 3) AS rising, bool_or(lane % 3 = 0) AS volume,
   bool_or(lane % 3 = 1) AS area, bool_or(lane % 3 = 2) AS height FROM {walked} WHERE crossed GROUP BY 1, 2, 3)
-JOIN {series} USING (sid) JOIN (SELECT cmodel, compname, idx, ts, barcode, fdate, comp_avdp, floor_before FROM {watch}) USING (cmodel, compname, idx)
+JOIN (SELECT sid, cmodel, compname, boards FROM {series}) USING (sid) JOIN (SELECT cmodel, compname, idx, ts, barcode, fdate, comp_avdp, floor_before FROM {watch}) USING (cmodel, compname, idx)
 """)
     define(f"{prefix}_episodes", f"""
 SELECT *, 'WRN-' || sha1(length(cmodel) || ':' || cmodel || length(compname) || ':' || compname || length(start_barcode) || ':' || start_barcode
@@ -84,6 +85,12 @@ alarms("walked", "drift")
 alarms("grid_walked", "grid")
 
 
+define("cut_watch", "SELECT * FROM watch WHERE ts < (SELECT cut FROM half_time)")
+define("cut_series", "SELECT cmodel, compname, sid, count(*) AS boards FROM cut_watch JOIN watch_series USING (cmodel, compname) GROUP BY ALL")
+define("cut_walked", "SELECT w.* FROM walked w JOIN cut_series s ON s.sid = w.lane // 3 WHERE w.idx < s.boards")
+alarms("cut_walked", "cut", "cut_watch", "cut_series")
+
+
 def restarted(k: int) -> None:
     """Round k of accepting: series whose active episode is accepted (here: an id whose first digit is below 8) begin there anew."""
     last, watch, series = ("drift", "watch", "watch_series") if k == 1 else (f"again{k - 1}", f"again{k - 1}_watch", f"again{k - 1}_series")

@@ -15,9 +15,14 @@ from boardlens.operators import evidence as V
 from boardlens.operators import mechanisms as M
 from boardlens.operators import parameters as P
 from boardlens.operators import runs as U
-from boardlens.operators.inspections import inspection_sizes
-from boardlens.plans import q_events, q_runs
-from boardlens.plans.q_rules import abnormal_results
+from boardlens.operators.inspections import inspection_sizes, pad_points
+from boardlens.functions.scalars import component_of, pad_of
+from boardlens.operators import dashboard as B
+from boardlens.operators import drift
+from boardlens.operators.inspections import inspections
+from boardlens.plans import q_drift, q_events, q_runs
+from boardlens.plans.q_rules import _earlier, abnormal_results
+from boardlens.plans.oracle import define
 from boardlens.plans.registry import query, rows, shared
 from boardlens.session import settled
 
@@ -295,3 +300,67 @@ SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY way = 'B
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY way = 'BOTH', place) <= 3""")
 def event_causes(spark, sf):
     return M.event_causes(q_events.tables(spark, sf)[1]).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("trigger_findings", """
+SELECT trigger_id, CAST(row_number() OVER (PARTITION BY trigger_id ORDER BY k) - 1 AS BIGINT) AS place, finding, CAST(a AS BIGINT) AS from_seq, CAST(z AS BIGINT) AS to_seq FROM (
+ SELECT trigger_id, 0 AS k, 'consecutive_failures' AS finding, 0 AS a, run_length - 1 AS z FROM run_triggers
+ UNION ALL SELECT trigger_id, 1, 'change_' || change_type, CASE change_type WHEN 'gradual' THEN -least(usual, 20) WHEN 'step' THEN 0 END,
+  CASE change_type WHEN 'gradual' THEN -1 WHEN 'step' THEN run_length - 1 END FROM run_change JOIN run_sizes USING (trigger_id) JOIN run_triggers USING (trigger_id)
+ UNION ALL SELECT trigger_id, 2, 'extent_' || scope, NULL, NULL FROM run_scope
+ UNION ALL SELECT trigger_id, 3, recovery, CASE recovery WHEN 'recovered' THEN recovered_seq WHEN 'not_recovered' THEN first_after END,
+  CASE recovery WHEN 'recovered' THEN recovered_seq WHEN 'not_recovered' THEN last_made END FROM run_recovery JOIN run_sizes USING (trigger_id)
+ UNION ALL SELECT group_id, 4, CASE WHEN bool_or(drifted) THEN 'parameters_drifted' ELSE 'parameters_normal' END, NULL, NULL FROM trigger_parameter_rows GROUP BY 1
+ UNION ALL SELECT trigger_id, 5, CASE WHEN periodic THEN 'periodic' ELSE 'not_periodic' END, NULL, NULL FROM run_triggers JOIN pad_periods USING (cmodel, compname)
+  JOIN (SELECT cmodel, compname, count(*) AS run_count FROM pad_runs GROUP BY ALL) USING (cmodel, compname) WHERE run_count >= 3
+ UNION ALL SELECT trigger_id, 6, 'window_short', NULL, NULL FROM run_sizes WHERE "before" < 300 OR last - end_seq < 300)""")
+def trigger_findings(spark, sf):
+    d = tables(spark, sf)
+    return D.trigger_findings(d.triggers, d.window, d.kinds, d.scopes, d.recovered, d.drifts, d.periods).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("abnormal_trigger_badge", """
+SELECT abnormal_id, trigger_id FROM abnormal LEFT JOIN (
+ SELECT regexp_extract(compname, '^(.+)_[0-9]+$', 1) AS component, regexp_extract(compname, '_([0-9]+)$', 1) AS pad, arg_min(trigger_id, (cmodel, compname, start_pos)) AS trigger_id
+ FROM run_triggers GROUP BY 1, 2) USING (component, pad)""")
+def abnormal_trigger_badge(spark, sf):
+    triggers = tables(spark, sf).triggers.withColumns({"component": component_of("compname"), "pad": pad_of("compname")})
+    return B.trigger_badges(abnormal_results(spark, sf), triggers).select("abnormal_id", "trigger_id")
+
+
+@query("label_to_concept", """
+SELECT trigger_id, cause, CASE direction WHEN 'OVER' THEN 'defect.over_volume' ELSE 'defect.insufficient_volume' END AS direction_concept,
+ CASE cause WHEN 'trend_gradual' THEN 'root_cause.cumulative_state_degradation' WHEN 'trend_step' THEN 'root_cause.discrete_process_change' ELSE 'mech.' || cause END AS cause_concept
+FROM run_assessed JOIN run_way USING (trigger_id) WHERE priority IS NOT NULL""")
+def label_to_concept(spark, sf):
+    d = tables(spark, sf)
+    rows_ = d.assessed.where("priority IS NOT NULL").join(d.main, "trigger_id").select("trigger_id", "cause", "direction")
+    return M.label_to_concept(rows_, direction="direction", cause="cause").drop("direction")
+
+
+@query("snapshot_new_ids", """
+SELECT 'trigger' AS kind, trigger_id AS id FROM run_triggers t WHERE (SELECT count(*) FROM made_points p WHERE p.cmodel = t.cmodel AND p.compname = t.compname AND p.passes = t.passes
+ AND p.ng AND p.ts < (SELECT cut FROM half_time)) < 3
+UNION ALL SELECT 'alert', warning_id FROM drift_warnings WHERE page_alert AND warning_id NOT IN (
+ SELECT warning_id FROM cut_episodes WHERE end_index IS NULL AND level >= 3 AND boards_above < 100)""")
+def snapshot_new_ids(spark, sf):
+    """Triggers and page alerts of today that a snapshot of the first half of the time did not show."""
+    before = settled(_earlier(rows(spark, sf)), "earlier")
+    failing = U.failing_points(pad_points(before))
+    old_triggers = U.trigger_runs(U.ng_runs(failing))
+    old_found = q_drift.walk_of(drift.watched_points(before), drift.DEFAULT)[1]
+
+    def alerts(found):
+        return drift.warnings(found).where("page_alert").select(F.lit("alert").alias("kind"), F.col("warning_id").alias("id"))
+
+    def ids(triggers):
+        return triggers.select(F.lit("trigger").alias("kind"), F.col("trigger_id").alias("id"))
+
+    now = ids(tables(spark, sf).triggers).union(alerts(q_drift.found(spark, sf)[1]))
+    return B.new_keys(now, ids(old_triggers).union(alerts(old_found)), ("kind", "id"))
+
+
+define("run_sizes", """
+SELECT trigger_id, any_value(end_seq) AS end_seq, -min(seq) AS "before", max(seq) AS last, count(*) FILTER (seq < 0 AND NOT ng AND NOT is_recheck) AS usual,
+ min(seq) FILTER (NOT is_recheck AND NOT in_run AND seq > 0) AS first_after, max(seq) FILTER (NOT is_recheck) AS last_made FROM run_points GROUP BY 1
+""")

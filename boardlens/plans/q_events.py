@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from boardlens.functions.stats import r6
 from boardlens.operators import events as E
+from boardlens.operators import parameters as P
 from boardlens.operators.inspections import first_inspection_rows, inspections
 from boardlens.plans.oracle import define
 from boardlens.plans.registry import query, rows, shared
@@ -122,3 +125,60 @@ def precursor(spark, sf):
 @query("environment_recorded", "SELECT coalesce(bool_or(temperature > 0 OR humidity > 0), false) AS environment_recorded FROM spi")
 def environment_recorded(spark, sf):
     return E.environment_recorded(rows(spark, sf))
+
+
+define("pass_means", """
+SELECT barcode, fdate, ng_count, metric, value FROM (SELECT barcode, fdate, ng_count, unnest(['comp_avdp', 'comp_aadp', 'comp_ahdp']) AS metric,
+ unnest([pass_avdp, pass_aadp, pass_ahdp]) AS value FROM insp) WHERE value IS NOT NULL""")
+define("event_shift", """
+SELECT e.event_id, any_value(m.metric) AS metric, avg(v.value) AS pass_mean, any_value(u.usual) AS usual FROM event_rows e JOIN event_main m USING (event_id)
+JOIN pass_means v ON v.metric = m.metric AND v.barcode = e.barcode AND v.fdate = e.fdate
+JOIN (SELECT m.event_id, (SELECT avg(p.value) FROM pass_means p WHERE p.metric = m.metric AND p.ng_count = 0 AND NOT EXISTS (
+  SELECT 1 FROM event_rows x WHERE x.event_id = m.event_id AND x.barcode = p.barcode)) AS usual FROM event_main m) u USING (event_id)
+GROUP BY e.event_id""")
+
+
+@query("event_defects", "SELECT event_id, defect, CAST(sum(n) AS BIGINT) AS n FROM event_rows JOIN dir_defects USING (barcode, fdate, direction) GROUP BY ALL")
+def event_defects(spark, sf):
+    base, _, members = tables(spark, sf)
+    return E.event_defects(members, E.board_defects(first_inspection_rows(base)))
+
+
+@shared
+def shifts(spark, sf):
+    base, _, members = tables(spark, sf)
+    return settled(E.pass_pad_shift(members, inspections(base), _mains(base, members)), "pass-shifts")
+
+
+@query("pass_pad_shift", """
+SELECT event_id, metric, round(pass_mean, 6) AS pass_mean, round(usual, 6) AS usual_mean, coalesce(usual > 0 AND pass_mean >= 2 * usual, false) AS shifted FROM event_shift""")
+def pass_pad_shift(spark, sf):
+    return shifts(spark, sf).withColumns({c: r6(c) for c in ("pass_mean", "usual_mean")})
+
+
+@query("event_findings", """
+SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY k) - 1 AS BIGINT) AS place, finding FROM (
+ SELECT event_id, 0 AS k, 'time_cluster' AS finding FROM event_heads
+ UNION ALL SELECT event_id, 1, 'board_wide' FROM event_heads WHERE scope = 'BOARD_WIDE'
+ UNION ALL SELECT event_id, 2, 'pass_pads_shifted' FROM event_shift WHERE usual > 0 AND pass_mean >= 2 * usual
+ UNION ALL SELECT event_id, 3, CASE WHEN n >= 3 AND slope >= 0.5 AND rise >= 3 THEN 'precursor' WHEN n >= 3 THEN 'no_precursor' ELSE 'precursor_unknown' END FROM pre_trend
+ UNION ALL SELECT group_id, 4, CASE WHEN bool_or(drifted) THEN 'parameters_drifted' ELSE 'parameters_normal' END FROM event_parameters GROUP BY 1
+ UNION ALL SELECT event_id, 5, 'recheck_passed' FROM event_again WHERE bad = 0 GROUP BY 1
+ UNION ALL SELECT event_id, 6, 'recheck_failed' FROM event_again WHERE bad > 0 GROUP BY 1
+ UNION ALL SELECT event_id, 7, 'environment_not_recorded' FROM event_heads)""")
+def event_findings(spark, sf):
+    base, events, members = tables(spark, sf)
+    groups = members.select(F.col("event_id").alias("group_id"), F.col("model").alias("cmodel"), "barcode")
+    drifts = P.parameter_check(base, groups).withColumnRenamed("group_id", "event_id")
+    starts = events.join(_mains(base, members), "event_id")
+    out = E.event_findings(events, shifts(spark, sf), E.precursor(starts, inspections(base)), drifts, E.recheck_outcome(members, base),
+                           E.environment_recorded(base))
+    return out.withColumn("place", F.col("place").cast("bigint"))
+
+
+define("event_again", """
+SELECT e.event_id, coalesce(s.same_ng, r.ng_count) AS bad
+FROM event_rows e JOIN (SELECT barcode, arg_max(fdate, ts) AS fdate, max(ts) AS ts, arg_max(ng_count, ts) AS ng_count FROM insp WHERE is_recheck GROUP BY 1) r
+ ON r.barcode = e.barcode AND r.ts > e.ts
+LEFT JOIN (SELECT barcode, fdate, direction, sum(n) AS same_ng FROM dir_defects GROUP BY ALL) s
+ ON s.barcode = r.barcode AND s.fdate = r.fdate AND s.direction = e.direction""")
