@@ -283,7 +283,8 @@ def node_links(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, Data
     sizes = sized.groupBy("label").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = settled(sized.join(sizes, "label").select("node", "copies", "label", "blocks"), "members")
-    named = texts.join(members, "node").groupBy("node").agg(
+    # Always by shuffle: members are a share of all texts, and small only while the corpus is.
+    named = texts.hint("merge").join(members, "node").groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("text", "copies", "label", "blocks")])
     sets = named.mapInArrow(
         _sets, "node binary, copies bigint, label binary, blocks int, shingles array<bigint>")
