@@ -32,14 +32,15 @@ class Snapshot:
     target: str
     stages: dict[str, Callable[[SparkSession, str], dict[str, DataFrame]]]
     fmt: str = "parquet"
-    shared: list = field(default_factory=list)
+    shared: list[dict] = field(default_factory=list)  # caches of shared tables: the job fills its own
 
     def run(self, spark: SparkSession, folder: str, version: str) -> DataFrame:
         """Run all stages and publish ``version``; its status rows."""
         rows = []
         with workspace(spark, "snapshot"):
-            for forget in self.shared:
-                forget()
+            kept = [dict(cache) for cache in self.shared]
+            for cache in self.shared:
+                cache.clear()
             try:
                 for name, stage in self.stages.items():
                     began, count, error = time.time(), 0, None
@@ -52,8 +53,9 @@ class Snapshot:
                         error = f"{type(failure).__name__}: {failure}"[:500]
                     rows.append((version, name, error is None, count if error is None else None, time.time() - began, error))
             finally:
-                for forget in self.shared:
-                    forget()
+                for cache, before in zip(self.shared, kept, strict=True):
+                    cache.clear()
+                    cache.update(before)
         status = spark.createDataFrame(rows, STATUS)
         status.drop("version").coalesce(1).write.mode("overwrite").parquet(f"{self.target}/_status/version={version}")
         return status

@@ -36,8 +36,8 @@ STAGES = {"anomaly_cases": anomaly_cases, "param_analysis": param_analysis, "dri
 
 
 def snapshot(target: str, stages=None, fmt: str = "parquet") -> Snapshot:
-    """The four analyses as one job; what queries of the session share is made anew and dropped with the job."""
-    return Snapshot(target, stages or STAGES, fmt, [s.forget for s in registry.SHARED])
+    """The four analyses as one job, with tables of its own in place of those that the session's queries share."""
+    return Snapshot(target, stages or STAGES, fmt, registry.SHARED)
 
 
 @query("stage_sink", """

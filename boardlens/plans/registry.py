@@ -20,7 +20,7 @@ T = TypeVar("T")
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
-SHARED: list[Callable] = []
+SHARED: list[dict] = []
 
 
 def shared(make: Callable[[SparkSession, str], T]) -> Callable[[SparkSession, str], T]:
@@ -35,8 +35,7 @@ def shared(make: Callable[[SparkSession, str], T]) -> Callable[[SparkSession, st
             kept[key] = make(spark, folder)
         return kept[key]
 
-    once.forget = kept.clear
-    SHARED.append(once)
+    SHARED.append(kept)
     return once
 
 
