@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from boardlens.llm import lm
+from boardlens.llm import lm, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,3 +78,11 @@ def test_sums_handed_on_early_add_up(monkeypatch):
     many, parts = texts()
     assert few == 5 < many and whole.keys() == parts.keys()
     assert all(math.isclose(whole[k][c], parts[k][c], abs_tol=1e-9) for k in whole for c in ("score", "base_rare", "known_rare"))
+
+
+def test_hashes_do_not_depend_on_the_block(monkeypatch):
+    column = pa.array(["", "One two  three", None, "x" * 50 + " é", " four\tfive " * 9])
+    whole = [w.hashes(lower=True).tolist() for _, _, w in tokens.pieces(column)]
+    for size in (1, 2, 7, 49, 50, 51):
+        monkeypatch.setattr(tokens, "HASH_BYTES", size)
+        assert [w.hashes(lower=True).tolist() for _, _, w in tokens.pieces(column)] == whole
