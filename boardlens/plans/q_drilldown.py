@@ -15,7 +15,7 @@ from boardlens.operators import evidence as V
 from boardlens.operators import mechanisms as M
 from boardlens.operators import parameters as P
 from boardlens.operators import runs as U
-from boardlens.operators.inspections import inspection_sizes, pad_points
+from boardlens.operators.inspections import inspection_sizes, monitor_points, pad_points
 from boardlens.functions.scalars import component_of, pad_of
 from boardlens.operators import dashboard as B
 from boardlens.operators import drift
@@ -348,7 +348,7 @@ def snapshot_new_ids(spark, sf):
     before = settled(_earlier(rows(spark, sf)), "earlier")
     failing = U.failing_points(pad_points(before))
     old_triggers = U.trigger_runs(U.ng_runs(failing))
-    old_found = q_drift.walk_of(drift.watched_points(before), drift.DEFAULT)[1]
+    old_found = q_drift.walk_of(drift.watched_points(before), drift.ng_floors(monitor_points(before)), drift.DEFAULT)[1]
 
     def alerts(found):
         return drift.warnings(found).where("page_alert").select(F.lit("alert").alias("kind"), F.col("warning_id").alias("id"))
