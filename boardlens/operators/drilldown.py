@@ -19,6 +19,7 @@ from boardlens.schema import (
     BOARD_WIDE_MIN_ROWS, BOARD_WIDE_SHARE, FALSE_ALARM_METRIC, LOCAL_MAX_SPAN, LOCAL_MIN_PADS, METRICS, PAD_WINDOW,
     PERIODIC_MIN_RUNS, PRECURSOR_BOARDS, ROW_WINDOW, parameter_names,
 )
+from boardlens.session import settled
 
 TOP = 5
 
@@ -82,13 +83,15 @@ def full_window(window: DataFrame, rows: DataFrame, main: DataFrame, reach: int
     """Rows of the whole table from ``reach`` before a run's first row to ``reach`` after its last.
 
     Rows are numbered once along (ts, board, pad, row); a run's interval meets them by position.
+    The runs' rows and intervals are written first: with their size known, the numbered
+    table is not shuffled to meet them if they are few.
     """
     columns = ["ts", "barcode", "compname", "row_id", "fdate", "cmodel", "comp_errname", "ng", "comp_px", "comp_py"]
     placed = ranked(rows.select(*columns), ["ts", "barcode", "compname", "row_id"], "place")
-    run = window.where("in_run").select("trigger_id", "row_id", F.col("compname").alias("pad"), "is_trigger")
+    run = settled(window.where("in_run").select("trigger_id", "row_id", F.col("compname").alias("pad"), "is_trigger"), "run-rows")
     spans = run.join(placed.select("row_id", "place"), "row_id").groupBy("trigger_id", "pad").agg(
         (F.min("place") - reach).alias("low"), (F.max("place") + reach).alias("high")).withColumn("low", F.greatest("low", F.lit(1)))
-    spans = spans.join(main.select("trigger_id", "direction"), "trigger_id")
+    spans = settled(spans.join(main.select("trigger_id", "direction"), "trigger_id"), "row-spans")
     near = range_join(spans, placed, [], "low", "high", "place", 4 * reach)
     flags = run.select("trigger_id", "row_id", F.lit(True).alias("is_trigger_row"))
     boards = window.where("is_trigger").select("trigger_id", "barcode", F.lit(True).alias("on_trigger_board")).distinct()

@@ -8,6 +8,7 @@ from boardlens.operators import runs as U
 from boardlens.operators.inspections import pad_points
 from boardlens.plans.oracle import define
 from boardlens.plans.registry import query, rows, shared
+from boardlens.schema import METRICS
 from boardlens.session import settled
 
 define("made_points", """
@@ -50,9 +51,13 @@ SELECT *, lag(v) OVER (PARTITION BY trigger_id ORDER BY pos) AS before FROM (
 """)
 
 
+# What runs and the windows around them read; the other columns of a row stay in the inspection table.
+POINT_COLUMNS = ("row_id", "ts", "barcode", "fdate", "cmodel", "compname", "machinename", "comp_errname", "ng", *METRICS)
+
+
 @shared
 def points(spark, sf):
-    return settled(pad_points(rows(spark, sf)), "points")
+    return settled(pad_points(rows(spark, sf).select(*POINT_COLUMNS)), "points")
 
 
 @shared
